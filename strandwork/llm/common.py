@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -51,6 +53,22 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{first[n.lower()]}").alias(n) for n in names])
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: its Python functions are loaded there by name."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="strandwork-")) / "strandwork-code.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        sc.addPyFile(str(path))
+        _SHIPPED.add(sc.applicationId)
+
+
 # --------------------------------------------------------------- column forms
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else; texts of ASCII only take the fast way."""

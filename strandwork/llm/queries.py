@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..registry import Registry
-from . import jaccard
+from . import decontaminate, jaccard, linededup, secrets, urlfilter
 
 REGISTRY = Registry()
 
@@ -14,6 +15,77 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@REGISTRY.query("op1_decontaminate")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items whose passages they hold."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@REGISTRY.query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op4_line_dedup", linededup.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that are kept elsewhere."""
+    found = linededup.line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @REGISTRY.query("op5_jaccard_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with alike 5-word shingle sets."""
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+#: Of page_id, as the pages have neither fetch times nor lists: a page is fetched page_id mod 365 days and mod 24 hours
+#: after the start of 2024; each host of the pages is listed by its least page_id m, from day m mod 97 on, as a whole
+#: or (m mod 5 = 0) by its first path, and (m mod 3 = 0) taken off the list 60 + m mod 101 days later.
+def _captures(pages: DataFrame) -> DataFrame:
+    at = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(page_id % 365 AS int), cast(page_id % 24 AS int))")
+    return pages.select("page_id", "url", at.alias("fetched_at"))
+
+
+def _changes(pages: DataFrame) -> DataFrame:
+    host = F.expr("lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1))")
+    step = F.expr("lower(regexp_extract(url, '^[^:]*://[^/?#]*/([^/?#]+)', 1))")
+    hosts = pages.select(host.alias("host"), step.alias("step"), "page_id").where("host <> ''").groupBy("host").agg(F.min(F.struct("page_id", "step")).alias("x"))
+    m = hosts.select("host", F.col("x.page_id").alias("m"), F.col("x.step").alias("step"))
+    entry = F.expr("CASE WHEN m % 5 = 0 AND step <> '' THEN concat(host, '/', step) ELSE host END")
+    day = "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast({} AS int))"
+    category = F.expr("element_at(array('spam', 'malware', 'adult', 'piracy'), cast(m % 4 AS int) + 1)")
+    add = m.select(entry.alias("entry"), category.alias("category"), F.lit("add").alias("action"), F.expr(day.format("m % 97")).alias("listed_at"))
+    off = m.where("m % 3 = 0").select(entry.alias("entry"), category.alias("category"), F.lit("remove").alias("action"), F.expr(day.format("m % 97 + 60 + m % 101")).alias("listed_at"))
+    return add.union(off)
+
+
+OP10_SQL = r"""
+WITH p AS (
+  SELECT page_id, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 365 AS INT)) + to_hours(page_id % 24) AS fetched_at,
+         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)) AS host,
+         lower(regexp_extract(url, '^[^:]*://[^/?#]*/([^/?#]+)', 1)) AS step FROM pages),
+m AS (SELECT host, min(page_id) AS m, arg_min(step, page_id) AS step FROM p WHERE host <> '' GROUP BY host),
+e AS (
+  SELECT CASE WHEN m % 5 = 0 AND step <> '' THEN host || '/' || step ELSE host END AS entry,
+         ['spam', 'malware', 'adult', 'piracy'][CAST(m % 4 AS INT) + 1] AS category,
+         TIMESTAMP '2024-01-01' + to_days(CAST(m % 97 AS INT)) AS valid_from,
+         CASE WHEN m % 3 = 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(m % 97 + 60 + m % 101 AS INT)) END AS valid_until FROM m),
+t AS (
+  SELECT page_id, fetched_at, array_to_string(list_slice(string_split(host, '.'), i, 99), '.') AS entry
+  FROM (SELECT page_id, fetched_at, host, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p WHERE host <> '')
+  UNION SELECT page_id, fetched_at, host || '/' || step FROM p WHERE host <> '' AND step <> ''),
+h AS (
+  SELECT page_id, e.*, row_number() OVER (PARTITION BY page_id ORDER BY length(e.entry) DESC, e.entry DESC) AS k
+  FROM t JOIN e ON t.entry = e.entry AND fetched_at >= valid_from AND (valid_until IS NULL OR fetched_at < valid_until))
+SELECT p.page_id, h.entry IS NOT NULL AS blocked, h.entry, h.category, h.valid_from AS listed_from
+FROM p LEFT JOIN h ON p.page_id = h.page_id AND h.k = 1
+"""
+
+
+@REGISTRY.query("op10_url_filter", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose URLs were listed when they were fetched."""
+    pages = _table(spark, sf_dir, "pages")
+    return urlfilter.filter_urls(_captures(pages), _changes(pages))
