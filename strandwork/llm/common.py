@@ -123,6 +123,12 @@ def text_shingles(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text.encode("utf-8", "replace").lower())).view(np.int64))
 
 
+def set_key(s: np.ndarray) -> int:
+    """A hash of a set of tokens."""
+    with np.errstate(over="ignore"):
+        return int(mix(mix(s.view(np.uint64)).sum(dtype=np.uint64) + np.array([len(s)], np.uint64)).view(np.int64)[0])
+
+
 # --------------------------------------------------------------- components
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u, v): rows (node, comp) with comp the smallest node reachable.

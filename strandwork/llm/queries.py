@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import Registry
-from . import decontaminate, jaccard, linededup, secrets, urlfilter
+from . import bpe, decontaminate, jaccard, langid, linededup, quality, secrets, substrings, tokencounts, urlfilter
 
 REGISTRY = Registry()
+#: File name of the rank file in the installed collection of public tokenizers.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every document by its lines."""
+    return quality.assess(_table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("op4_line_dedup", linededup.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that are kept elsewhere."""
@@ -40,6 +49,31 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long paragraphs that documents repeat, with their clusters."""
+    return substrings.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op7_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document and of the bytes that they decode to."""
+    return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+@REGISTRY.query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by line."""
+    return tokencounts.count(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+@REGISTRY.query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 #: Of page_id, as the pages have neither fetch times nor lists: a page is fetched page_id mod 365 days and mod 24 hours
 #: after the start of 2024; each host of the pages is listed by its least page_id m, from day m mod 97 on, as a whole
 #: or (m mod 5 = 0) by its first path, and (m mod 3 = 0) taken off the list 60 + m mod 101 days later.
