@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-from ..registry import Registry
+from . import networks, relational  # noqa: F401
+from .base import REGISTRY
 
-REGISTRY = Registry()
+__all__ = ["REGISTRY"]
