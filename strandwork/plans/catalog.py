@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import networks, relational  # noqa: F401
+from . import networks, relational, timeseries  # noqa: F401
 from .base import REGISTRY
 
 __all__ = ["REGISTRY"]
