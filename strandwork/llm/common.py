@@ -34,23 +34,57 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Tables of at most so many rows of a few numbers are broadcast (about 40 bytes a row and executor).
+MOST_BROADCAST = 400_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Once the table is there nothing needs the shuffles that led to it; Spark is told to drop their files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    out = spark.read.schema(schema).parquet(path)
+    out._strandwork_path = path  # noqa: SLF001
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t._strandwork_path)  # noqa: SLF001
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
+def bounded(table: DataFrame) -> DataFrame:
+    """A materialized table of few columns, marked for broadcast if its counted rows are within the bound."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
 
 
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, the first of each name where a table has clashing ones; a missing one is an error."""
     if len({c.lower() for c in df.columns}) == len(df.columns):
         return df.select(*names)
-    first: dict[str, int] = {}
+    frame, at = numbered(df)
+    return frame.select(*[F.col(at[n.lower()]).alias(n) for n in names])
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns _0, _1, ... (names may clash) and a map of lower-case names to the first column so named."""
+    first: dict[str, str] = {}
     for i, c in enumerate(df.columns):
-        first.setdefault(c.lower(), i)
-    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{first[n.lower()]}").alias(n) for n in names])
+        first.setdefault(c.lower(), f"_{i}")
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), first
 
 
 _SHIPPED: set[str] = set()
@@ -146,7 +180,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.union(low.where("m < u")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        old, e = e, materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last or now[0] == 0:
             break

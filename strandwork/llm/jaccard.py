@@ -9,8 +9,8 @@ found by scanning the inverted lists of the shorter one.  The boundary is the si
 at which the counted keys of both ways cost least.
 
 The order needs the frequent tokens only: those with more than ``hot`` sets in
-prefixes by hash, and all tokens so frequent in the documents that hold such ones,
-go last, the most frequent at the end.
+prefixes by hash, and those as frequent in the documents for which the stored
+prefix is then too short, go last, the most frequent at the end.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing
 (component_id is their own doc_id); fewer than five words give one shingle; rows
@@ -25,17 +25,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, plain, text_shingles
+from .common import bounded, discard, materialize, numbered, plain, row_key, set_key, ship, text_shingles
 from .linkage import link_components
 
 PERCENT = 80
+_NO_ID = -(2**62)
 #: Tokens in more prefixes than this go to the end of the token order.
 HOT = 32
 #: Cost of a posting in an inverted list, with the candidates it brings, against that of a subset key.
 SCAN_COST = 1.5
+#: The order knows the most frequent tokens up to this number (16 bytes each on the driver and the executors); it is one order for any choice.
+MOST_HOT = 200_000
+#: Stored prefixes are longer than needed by this factor, to make up for frequent tokens that move to the end.
+SLACK = 1.3
 #: Sets larger than this never enumerate subsets (their number grows with the square of the prefix).
 MOST_SMALL = 64
 
@@ -45,22 +51,18 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n, k1, k2, pref): k1, k2 identify the set, pref is the prefix by hash."""
-    for b in batches:
-        n, k1, k2, pref = [], [], [], []
-        for t in b.column(1):
-            s = text_shingles(t.as_py())
-            u = s.view(np.uint64)
-            n.append(len(s))
-            with np.errstate(over="ignore"):
-                k1.append(int(mix(mix(u).sum(dtype=np.uint64) + np.array([len(s)], np.uint64)).view(np.int64)[0]))
-                k2.append(int(mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-            pref.append(s[: prefix_length(len(s)) + 1] if len(s) else s)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(pref, pa.list_(pa.int64()))],
-            ["doc_id", "n", "k1", "k2", "pref"],
-        )
+def _parser(percent: int):  # noqa: ANN202
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text, key) to (doc_id, key, n, k1, pref): k1 stands for the set, pref is the prefix by hash with some more tokens."""
+        for b in batches:
+            sets = [text_shingles(t.as_py()) for t in b.column(1)]
+            pref = [s[: int(SLACK * prefix_length(len(s), percent)) + 8] for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(map(len, sets), pa.int64()), pa.array(map(set_key, sets), pa.int64()), pa.array(pref, pa.list_(pa.int64()))],
+                ["doc_id", "key", "n", "k1", "pref"],
+            )
+
+    return parse
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,64 +95,129 @@ def keys(prefixes: DataFrame, small: int, percent: int) -> DataFrame:
     return subsets.union(lists.select("key", "node", "n", "pos"))
 
 
+class Frequent:
+    """The frequent tokens, sorted, with their class (the logarithm of their count); others have class 0."""
+
+    def __init__(self, tokens: DataFrame | None = None, most: int = MOST_HOT, hot: int = HOT, other: Frequent | None = None) -> None:
+        got = {} if other is None else dict(zip(other.tokens.tolist(), other.classes.tolist(), strict=True))
+        if tokens is not None:
+            counted = tokens.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > hot)
+            for r in counted.orderBy(F.desc("c"), "t").limit(most).collect():
+                got[r["t"]] = max(got.get(r["t"], 0), r["c"].bit_length())
+        self.tokens = np.array(sorted(got), np.int64)
+        self.classes = np.array([got[t] for t in self.tokens.tolist()], np.int64)
+
+    def of(self, toks: np.ndarray) -> np.ndarray:
+        if not len(self.tokens):
+            return np.zeros(len(toks), np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, toks), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == toks, self.classes[at], 0)
+
+    def ordered(self, toks: np.ndarray) -> np.ndarray:
+        """Tokens in the global order: by class, then by hash."""
+        return toks[np.lexsort((toks, self.of(toks)))]
+
+
+def _cutter(shared: Broadcast, percent: int):  # noqa: ANN202
+    """(node, n, pref by hash) to (node, n, pref in the global order); null where the stored prefix is too short for that."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+        for b in batches:
+            out = []
+            for n, x in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                pref = x.values.to_numpy()
+                need = min(n, prefix_length(n, percent) + 1)
+                if len(pref) == n:
+                    out.append(frequent.ordered(pref)[:need])
+                else:
+                    rest = pref[frequent.of(pref) == 0]
+                    out.append(rest[:need] if len(rest) >= need else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["node", "n", "pref"])
+
+    return cut
+
+
+def _orderer(shared: Broadcast, percent: int):  # noqa: ANN202
+    """(node, toks) to (node, n, pref in the global order)."""
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+        for b in batches:
+            sets = [x.values.to_numpy() for x in b.column(1)]
+            out = [frequent.ordered(s)[: prefix_length(len(s), percent) + 1] for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "n", "pref"])
+
+    return order
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """One row (doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
+    return _components(docs, percent, hot).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, percent: int, hot: int) -> DataFrame:
+    """As ``jaccard_components``, with the row's key and a hash that is the component's own."""
     texts = plain(docs, "doc_id", "text")
-    full = materialize(texts.mapInArrow(_sets, "doc_id bigint, n bigint, k1 bigint, k2 bigint, pref array<bigint>"))
-    base = full.select("doc_id", "n", "k1")
-    nodes = materialize(full.where("n > 0").select(F.col("k1").alias("node"), "n", "pref").dropDuplicates(["node"]))
+    ship(docs.sparkSession)
+    share = texts.sparkSession.sparkContext.broadcast
+    full = materialize(texts.withColumn("key", row_key()).mapInArrow(_parser(percent), "doc_id bigint, key bigint, n bigint, k1 bigint, pref array<bigint>").withColumn("row", F.monotonically_increasing_id()))
+    rows = materialize(full.select("doc_id", "key", "n", "k1"))
+    base = rows.where("n > 0").drop("key")
+    first_rows = materialize(full.where("n > 0").groupBy("k1").agg(F.min("row").alias("row")).select("row"))
+    nodes = full.join(bounded(first_rows), "row", "left_semi").select(F.col("k1").alias("node"), "n", "pref")
+    # A node's text is found by one of its documents; where rows repeat a doc_id, by the key of the set instead.
+    repeated = not base.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
 
-    # One document stands for each node; its text is parsed again where whole sets are needed.
     def sets_of(wanted: DataFrame) -> DataFrame:
-        ids = base.where("n > 0").join(wanted.withColumnRenamed("node", "k1"), "k1", "left_semi").groupBy("k1").agg(F.min(F.coalesce("doc_id", F.lit(-(2**62)))).alias("id"))
-        found = texts.withColumn("id", F.coalesce("doc_id", F.lit(-(2**62)))).join(ids, "id").select("k1", "text")
-        toks = found.mapInArrow(_tokens, "node bigint, toks array<bigint>")
-        return toks.where("size(toks) > 0").groupBy("node").agg(F.max("toks").alias("toks")) if repeated else toks
-
-    # Rows that repeat a doc_id with another text: those nodes are found by their set's key instead.
-    repeated = not base.where("n > 0").groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y").isEmpty()
-    if repeated:
-
-        def sets_of(wanted: DataFrame) -> DataFrame:  # noqa: F811
-            return texts.mapInArrow(_keyed, "node bigint, toks array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-
-    flat = nodes.select("node", F.explode("pref").alias("t"))
-    h1 = flat.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("t")
-    first = flat.join(h1, "t", "left_semi").select("node").distinct()
-    whole = materialize(sets_of(first))
-    pref = nodes
-    if not whole.isEmpty():
-        h2 = materialize(whole.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > hot))
-        moved = materialize(flat.join(h2, "t", "left_semi").select("node").distinct())
-        late = whole.union(sets_of(moved.join(whole, "node", "left_anti")))
-        late = late.join(moved, "node", "left_semi").select("node", F.explode("toks").alias("t"))
-        late = late.join(h2, "t", "left").select("node", F.struct(F.coalesce(F.floor(F.log2("c")), F.lit(0)).alias("w"), "t").alias("x"))
-        late = late.groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("x"))
-        late = late.select("node", F.size("x").cast("bigint").alias("n"), F.slice(F.expr("transform(x, y -> y.t)"), F.lit(1), F.least(F.size("x"), _p("size(x)", percent) + 1)).alias("pref"))
-        pref = nodes.join(moved, "node", "left_anti").select("node", "n", "pref").union(materialize(late))
-    comps = link_components(keys(pref, boundary(nodes.select("n"), percent), percent), sets_of, percent)
-
-    classes = base.where("n > 0").groupBy("k1").agg(F.min("doc_id").alias("least"))
+        if repeated:
+            return texts.mapInArrow(_keyed, "node bigint, toks array<bigint>").join(bounded(wanted), "node", "left_semi").dropDuplicates(["node"])
+        ids = base.join(wanted.withColumnRenamed("node", "k1"), "k1", "left_semi").groupBy("k1").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("id"))
+        found = texts.withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID))).join(bounded(materialize(ids)), "id").select("k1", "text")
+        return found.mapInArrow(_tokens, "node bigint, toks array<bigint>")
+
+    layout = "node bigint, n bigint, pref array<bigint>"
+    small = boundary(nodes.select("n"), percent)
+    frequent = Frequent(nodes.select(F.explode("pref").alias("t")), hot=hot)
+    if not len(frequent.tokens):
+        cut = materialize(nodes.mapInArrow(_cutter(share(frequent), percent), layout))
+        discard(full, first_rows)
+        comps = link_components(keys(cut, small, percent), sets_of, percent)
+        discard(cut)
+    else:
+        short = materialize(nodes.mapInArrow(_cutter(share(frequent), percent), layout).where("pref IS NULL").select("node"))
+        whole = materialize(sets_of(short))
+        frequent = share(Frequent(whole.select(F.explode("toks").alias("t")), hot=hot, other=frequent))
+        cut = materialize(nodes.mapInArrow(_cutter(frequent, percent), layout))
+        discard(full, first_rows)
+        more = materialize(cut.where("pref IS NULL").select("node").join(short, "node", "left_anti"))
+        late = whole if more.isEmpty() else whole.union(sets_of(more))
+        late = materialize(late.mapInArrow(_orderer(frequent, percent), layout).join(cut.where("pref IS NULL").select("node"), "node", "left_semi"))
+        discard(short, whole, more)
+        pref = cut.where("pref IS NOT NULL").union(late)
+        comps = link_components(keys(pref, small, percent), sets_of, percent)
+        discard(cut, late)
+
+    classes = base.groupBy("k1").agg(F.min("doc_id").alias("least"))
     classes = classes.join(comps.withColumnRenamed("node", "k1"), "k1", "left").withColumn("comp", F.coalesce("comp", "k1"))
     best = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    found = classes.join(best, "comp").select("k1", "component_id")
-    out = base.join(found, "k1", "left")
+    found = classes.join(best, "comp").select("k1", "component_id", "comp")
+    out = rows.join(found, "k1", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "key", "comp")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (node, toks) with the set's key for its node."""
     for b in batches:
-        sets = [text_shingles(t.as_py()) for t in b.column(1)]
-        sets = [s for s in sets if len(s)]
-        with np.errstate(over="ignore"):
-            ks = [int(mix(mix(s.view(np.uint64)).sum(dtype=np.uint64) + np.array([len(s)], np.uint64)).view(np.int64)[0]) for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "toks"])
+        sets = [s for s in (text_shingles(t.as_py()) for t in b.column(1)) if len(s)]
+        yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "toks"])
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that stand for their component: the row with the smallest doc_id, once, all columns kept."""
-    found = materialize(jaccard_components(docs, percent))
-    keep = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(2**62))).alias("_id")).distinct()
-    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**62)))).join(keep, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+    """``docs`` with one row of each component, of the smallest doc_id in it, and all rows without words; copies of a row stay one."""
+    found = materialize(_components(docs, percent, HOT))
+    first = found.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("comp").agg(F.min("key").alias("_key")).select("_key")
+    keep = first.union(found.where("n_shingles = 0").select("key")).distinct()
+    frame, at = numbered(docs)
+    return frame.withColumn("_key", row_key(at["doc_id"], at["text"])).join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*frame.columns).toDF(*docs.columns)

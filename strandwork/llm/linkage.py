@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, discard, materialize
 
 #: Keys held by more nodes than this go by way of a central node.
 LIGHT = 16
@@ -40,9 +40,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_components(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, light: int = LIGHT) -> DataFrame:
-    """Rows (node, comp) for nodes that link with another node; ``sets_of(nodes)`` gives (node, toks)."""
-    held = postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    """A table (node, comp) of the nodes that link with another node; ``sets_of(nodes)`` gives (node, toks) for a table of nodes."""
+    held = materialize(postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))  # by itself: its shuffle is gone before the next
     p = materialize(postings.join(held, "key"))
+    discard(held)
     a = p.select("key", "c", *[F.col(x).alias(f"{x}_a") for x in ("node", "n", "pos")])
     b = p.select("key", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "pos")])
     ok = can_reach(percent, "n_a", "n_b", "pos_a", "pos_b")
@@ -52,20 +53,22 @@ def link_components(postings: DataFrame, sets_of: Callable[[DataFrame], DataFram
     ends = lambda d: d.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v"))
     first = materialize(ends(few).union(ends(star)).distinct())
     heavy = p.where(F.col("c") > light)
-    nodes = first.select(F.col("u").alias("node")).union(first.select("v")).union(heavy.select("node")).distinct()
+    nodes = materialize(first.select(F.col("u").alias("node")).union(first.select("v")).union(heavy.select("node")).distinct())
     sets = materialize(sets_of(nodes))
     links = materialize(verified(first, sets, percent))
-    comps = components(links)
-    if heavy.isEmpty():
-        return comps
-    comps = materialize(comps)
-    h = heavy.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = h.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    h = materialize(h.join(mixed, "key").select("key", "node", "n", "pos", "comp"))
-    a = h.select("key", *[F.col(x).alias(f"{x}_a") for x in ("node", "n", "pos", "comp")])
-    b = h.select("key", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "pos", "comp")])
-    rest = ends(a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & ok)).distinct()
-    more = materialize(verified(rest, sets, percent))
-    if more.isEmpty():
-        return comps
-    return components(links.union(more))
+    discard(first, nodes)
+    comps = materialize(components(links))
+    if not heavy.isEmpty():
+        h = heavy.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = h.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        h = materialize(h.join(mixed, "key").select("key", "node", "n", "pos", "comp"))
+        a = h.select("key", *[F.col(x).alias(f"{x}_a") for x in ("node", "n", "pos", "comp")])
+        b = h.select("key", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "pos", "comp")])
+        rest = ends(a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & ok)).distinct()
+        more = materialize(verified(rest, sets, percent))
+        if not more.isEmpty():
+            before, comps = comps, materialize(components(links.union(more)))
+            discard(before)
+        discard(h, more)
+    discard(p, sets, links)
+    return comps
