@@ -5,12 +5,12 @@ document are range-partitioned by (hash, document), so that a line held by a thi
 of all documents is dealt over many partitions; within a partition they are sorted
 and streamed once into counts, which are partial sums for each hash.  The result is
 a compressed bitmap of each document's dropped lines, 63 lines a word, words
-without a dropped line left out; the text itself is touched by ``apply`` alone.
+without a dropped line left out; the text itself is touched once, where the bitmaps are applied.
 
 Defined cases: null and empty texts are one empty line; rows that repeat a doc_id
 are one document for the counting, each row with its own bitmap; a null doc_id
 is one document, smaller than all others; an empty table gives no rows; further columns,
-clashing names included, are ignored by ``line_bitmaps`` and kept by ``apply``.
+clashing names included, are ignored by ``line_dedup`` and kept by ``clean_documents``.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, plain, row_key
+from .common import ascii_lower, materialize, numbered, plain, row_key
 
 #: A key of at least so many code points in at least so many documents is dropped.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -52,20 +52,32 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return bits.groupBy("row").agg(F.sum("n").alias("n_dropped"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("dropped"))
 
 
-def apply(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the columns n_lines, n_dropped and the text without the dropped lines in kept_text."""
-    with_row = docs.withColumn("_row", row_key())
+def _kept(frame: DataFrame, doc_id: str, text: str, bitmaps: DataFrame) -> DataFrame:
+    """``frame`` with _lines, _dropped (how many) and _kept, the text of the other lines."""
     marks = bitmaps.select(F.col("row").alias("_row"), F.col("n_dropped").alias("_n"), F.col("dropped").alias("_d"))
-    both = with_row.join(marks, "_row", "left").withColumn("_l", lines(F.col("text")))
+    both = frame.withColumn("_row", row_key(doc_id, text)).join(marks, "_row", "left").withColumn("_l", lines(F.col(text)))
     left = F.expr(f"filter(_l, (x, i) -> (coalesce(try_element_at(_d, cast(i div {WORD} as int)), 0L) & shiftleft(1L, i % {WORD})) = 0)")
-    kept = F.when(F.col("_n").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(left, "\n"))
-    return both.withColumns({"n_lines": F.size("_l").cast("bigint"), "n_dropped": F.coalesce("_n", F.lit(0)), "kept_text": kept}).drop("_row", "_n", "_d", "_l")
+    kept = F.when(F.col("_n").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(left, "\n"))
+    return both.withColumns({"_lines": F.size("_l").cast("bigint"), "_dropped": F.coalesce("_n", F.lit(0)), "_kept": kept})
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row (doc_id, n_lines, n_dropped, kept_text) for each row of ``docs``."""
     texts = plain(docs, "doc_id", "text")
-    return apply(texts, line_bitmaps(texts, min_chars, min_docs)).select("doc_id", "n_lines", "n_dropped", "kept_text")
+    k = _kept(texts, "doc_id", "text", line_bitmaps(texts, min_chars, min_docs))
+    return k.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.col("_kept").alias("kept_text"))
+
+
+def clean_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with all rows and columns, the dropped lines cut from text and n_chars (if there) counted anew for texts that change."""
+    frame, at = numbered(docs)
+    text = at["text"]
+    k = _kept(frame, at["doc_id"], text, line_bitmaps(docs, min_chars, min_docs))
+    new = F.when(F.col("_dropped") > 0, F.col("_kept")).otherwise(F.col(text))
+    changed = {text: new}
+    if "n_chars" in at:
+        changed[at["n_chars"]] = F.when(F.col("_dropped") > 0, F.char_length("_kept").cast(dict(frame.dtypes)[at["n_chars"]])).otherwise(F.col(at["n_chars"]))
+    return k.select(*[changed.get(c, F.col(c)).alias(c) for c in frame.columns]).toDF(*docs.columns)
 
 
 SQL = """
