@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandwork.llm import bpe, decontaminate, jaccard, langid, linededup
 from strandwork.llm.common import materialize
@@ -22,10 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are kept elsewhere; texts and their lengths change, no document goes."""
-    done = linededup.apply(docs, linededup.line_bitmaps(docs))
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return done.select(*[text.alias("text") if c == "text" else F.char_length(text).cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """All documents, without the lines that are kept elsewhere."""
+    return linededup.clean_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
