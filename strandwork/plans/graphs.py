@@ -219,7 +219,7 @@ def markov(t: Tables) -> DataFrame:
 
 @query("edge_probabilities", f"""
 WITH {_E}, {_U}, d AS (SELECT u AS vertex, count(*) AS d FROM both_ GROUP BY 1), c AS (SELECT vertex, d > (SELECT quantile_cont(d, 0.8) FROM d) AS core FROM d), n AS (SELECT count(*) FILTER (WHERE core) AS k, count(*) AS n FROM c), j AS (SELECT a.core AS a, b.core AS b FROM u JOIN c a ON a.vertex = u.u JOIN c b ON b.vertex = u.v)
-SELECT round(count(*) FILTER (WHERE a AND b) / any_value(k * (k - 1) / 2), 6) AS core_core, round(count(*) FILTER (WHERE NOT a AND NOT b) / any_value((n - k) * (n - k - 1) / 2), 6) AS peripheral_peripheral, round(count(*) FILTER (WHERE a <> b) / any_value(n * (n - 1) / 2), 6) AS core_peripheral FROM j, n""", (271,))
+SELECT round(count(*) FILTER (WHERE a AND b) / any_value(nullif(k * (k - 1) / 2, 0)), 6) AS core_core, round(count(*) FILTER (WHERE NOT a AND NOT b) / any_value(nullif((n - k) * (n - k - 1) / 2, 0)), 6) AS peripheral_peripheral, round(count(*) FILTER (WHERE a <> b) / any_value(n * (n - 1) / 2), 6) AS core_peripheral FROM j, n""", (271,))
 def edge_probabilities(t: Tables) -> DataFrame:
     """Probabilities of edges within and across classes."""
     e = _edges(t)
