@@ -138,3 +138,14 @@ def evaluate_rules(queries: DataFrame, rules: DataFrame) -> DataFrame:
     j = queries.join(found, "query", "left").withColumn("found", F.coalesce("found", F.expr("cast(array() AS array<bigint>)")))
     hits = F.size(F.array_intersect("found", "expected"))
     return j.select("commit_id", "query", F.size("found").cast("bigint").alias("n_found"), F.try_divide(hits, F.size("found")).alias("precision"), F.try_divide(hits, F.size("expected")).alias("recall"))
+
+
+def random_blocks(blocks: DataFrame, keys: list[str], length: str, seed: int = 448) -> DataFrame:
+    """A control with the same blocks placed at random in a file of ``length`` lines: first_line and last_line by a seeded hash.
+
+    The place depends on the block alone, so it is the same in every run and partitioning.
+    """
+    size = F.col("last_line") - F.col("first_line") + 1
+    room = F.greatest(F.lit(1), F.col(length) - size + 1)
+    first = F.pmod(F.xxhash64(F.lit(seed), *keys, "author", "first_line"), room) + 1
+    return blocks.withColumns({"first_line": first, "last_line": first + size - 1})

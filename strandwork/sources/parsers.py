@@ -161,3 +161,50 @@ def module_dependencies(rows: DataFrame, prefix: str) -> DataFrame:
     """Dependency rows (From File, To File, References) as edges without a path prefix and without loops."""
     strip = lambda c: F.regexp_replace(F.col(c), "^" + prefix.replace(".", r"\."), "")
     return rows.select(strip("From File").alias("from_id"), strip("To File").alias("to_id"), F.col("References").cast("bigint").alias("weight")).where("from_id <> to_id")
+
+
+def entity_tags(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Tag lines "name<TAB>file<TAB>line;\\"<TAB>kind" of functions and types as (file, start_line, entity), lines from 0."""
+    p = F.split(line, "\t")
+    rows = lines.where(~F.startswith(line, F.lit("!")) & F.col(line).rlike(r'^[^\t]+\t[^\t]+\t\d+;"\t[a-z]'))
+    number = F.regexp_extract(p[2], r"^(\d+)", 1).cast("int") - 1
+    return rows.where(p[3].isin("f", "c", "s", "m")).select(p[1].alias("file"), number.alias("start_line"), p[0].alias("entity"))
+
+
+def function_bodies(text: DataFrame, content: str = "value") -> DataFrame:
+    """Function members of documentation XML as (file, entity, start_line, end_line), lines from 0; those without a body are left out."""
+    member = F.explode(F.regexp_extract_all(content, F.lit(r'(?s)<memberdef kind="function".*?</memberdef>'), 0))
+    m = text.select(member.alias("m"))
+    one = lambda p: F.regexp_extract("m", p, 1)
+    number = lambda p: F.nullif(one(p), F.lit("")).cast("int") - 1
+    rows = m.select(one(r'bodyfile="([^"]*)"').alias("file"), one(r"<name>([^<]*)</name>").alias("entity"), number(r'bodystart="(\d+)"').alias("start_line"), number(r'bodyend="(\d+)"').alias("end_line"))
+    return rows.where("start_line IS NOT NULL AND end_line IS NOT NULL")
+
+
+def community_file(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Communities of a file with "#module k ..." lines, each followed by its members; lines have their number ``n``: (community, vertex)."""
+    w = Window.partitionBy(F.lit(0)).orderBy("n")
+    head = F.last(F.nullif(F.regexp_extract(line, r"^#module\s+(\d+)", 1), F.lit("")), ignorenulls=True).over(w)
+    rows = lines.withColumn("community", head).where(~F.startswith(line, F.lit("#")))
+    return rows.select(F.col("community").cast("bigint").alias("community"), F.explode(F.split(F.trim(line), r"\s+")).alias("v")).select("community", F.col("v").cast("bigint").alias("vertex"))
+
+
+def posting_counts(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Daily rates (keys, day, rate, spam) as posts and their running number: (keys, day, posts, total)."""
+    w = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    p = rows.select(*keys, "day", (F.col("rate") + F.col("spam")).alias("posts"))
+    return p.withColumn("total", F.sum("posts").over(w))
+
+
+def messages_since(counts: DataFrame, since: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Messages after a day: greatest running number less that of the last posting at or before the day, or of the first after it."""
+    at = F.lit(since).cast("date")
+    base = F.coalesce(F.max(F.when(F.col("day") <= at, F.col("total"))), F.min("total"))
+    return counts.groupBy(*keys).agg((F.max("total") - base).alias("messages"))
+
+
+def line_counts(files: DataFrame, content: str = "value", keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """Lines of each file's text; a last line without a break counts, an empty file has none."""
+    breaks = F.char_length(content) - F.char_length(F.replace(content, F.lit("\n"), F.lit("")))
+    open_end = F.when((F.char_length(content) > 0) & ~F.endswith(content, F.lit("\n")), 1).otherwise(0)
+    return files.select(*keys, (breaks + open_end).cast("bigint").alias("lines"))
