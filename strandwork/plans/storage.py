@@ -62,7 +62,7 @@ def cached_history(t: Tables) -> DataFrame:
     return G.written(t.commits.select("id", "author")).groupBy("author").agg(F.count("*").alias("n"))
 
 
-@query("timeline_dates", "SELECT n_nationkey AS tag, coalesce((SELECT max(o_orderdate) FROM orders WHERE o_custkey % 20 = n_nationkey), TIMESTAMP '1990-01-01') AS date FROM nation", (31, 32))
+@query("timeline_dates", "SELECT CAST(n_nationkey AS BIGINT) AS tag, coalesce((SELECT max(o_orderdate) FROM orders WHERE o_custkey % 20 = n_nationkey), TIMESTAMP '1990-01-01') AS date FROM nation", (31, 32))
 def timeline_dates(t: Tables) -> DataFrame:
     """Dates of tags from their commits; tags without any keep theirs."""
     line = t.nation.select(F.col("n_nationkey").cast("bigint").alias("tag"), F.lit("1990-01-01 00:00:00").cast("timestamp_ntz").alias("date"))
