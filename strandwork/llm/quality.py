@@ -2,7 +2,7 @@
 
 A line fails if it is navigation (mostly separators, or a short run of links or
 menu words), boilerplate (a phrase of ``BOILERPLATE``), shouting (mostly capitals),
-symbol noise, or prose without terminal punctuation; a repeat of an earlier line
+symbol noise, or prose whose sentences don't end; a repeat of an earlier line
 fails too.  A document is rejected when failed lines hold more than ``MAX_LOST``
 percent of its word characters, or by the base rules (too few words, too many words
 in repeated 8-word windows).
@@ -26,6 +26,8 @@ from .common import mix, plain, ship, word_hashes
 WINDOW, MIN_WORDS, MAX_REPEAT, MAX_LOST = 8, 20, 30, 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+#: A line without terminal punctuation fails unless it has a sentence's end for so many words.
+WORDS_A_SENTENCE = 40
 #: Phrases of lines that are part of a page's frame, lower case.
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "subscribe to our newsletter", "click here", "share this", "skip to content", "powered by")
 #: Ends of prose lines.
@@ -69,7 +71,11 @@ def line_fails(line: str, words: list[bytes]) -> str | None:
     if letters > 10 and 2 * sum(map(str.isupper, line)) > letters:
         return "shouting"
     if not TERMINAL.search(line.rstrip(SPACES)):
-        return "navigation" if len(words) < 4 else "punctuation"
+        if len(words) < 4:
+            return "navigation"
+        # Prose that breaks off is no reason: only lines whose sentences never end fail.
+        ended = sum(w[-1:] in b".!?:;" for w in words)
+        return None if WORDS_A_SENTENCE * ended >= len(words) else "punctuation"
     return None
 
 
