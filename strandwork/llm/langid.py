@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, ship
+from .common import numbered, plain, ship
 
 DIMS = 4096
-FIT_ROWS, MOST_LANGUAGES, CENTROIDS = 4000, 100, 4
+FIT_ROWS, MOST_LANGUAGES, CENTROIDS = 2400, 100, 4
 #: A text is rejected below this part of the least cosine that its language's training texts have.
-REJECT = 0.5
+REJECT = 0.3
 #: Characters that are counted at a time, to bound the memory of very long texts.
 CHUNK = 1 << 20
 UNKNOWN = "und"
@@ -66,11 +66,11 @@ def counts(text: str | None) -> np.ndarray | None:
 class Model:
     """Centroids by language; fitted on counts and labels."""
 
-    def __init__(self, rows: list[np.ndarray], labels: list[str], centroids: int = CENTROIDS, rounds: int = 12) -> None:
+    def __init__(self, x: np.ndarray, labels: list[str], centroids: int = CENTROIDS, rounds: int = 12) -> None:
+        """``x`` has a row of counts for each label, as float32; it is used up."""
         self.languages = sorted(set(labels))
-        if not rows:
+        if not len(x):
             return
-        x = np.stack(rows)
         self.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
         x = self.vectors(x)
         found, owner, limits = [], [], []
@@ -90,8 +90,11 @@ class Model:
         self.owner, self.limits = np.array(owner), np.array(limits)
 
     def vectors(self, x: np.ndarray) -> np.ndarray:
-        v = np.log1p(x).astype(np.float32) * self.idf
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        x = x.astype(np.float32, copy=False)
+        v = np.log1p(x, out=x)
+        v *= self.idf
+        v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v))[:, None], 1e-12)
+        return v
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
@@ -114,7 +117,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, places, counts), without texts that have no letter."""
     for b in batches:
         got = [(lang, c) for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if (c := counts(t.as_py())) is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([np.flatnonzero(g[1]).astype(np.int32).tobytes() for g in got], pa.binary()), pa.array([g[1][g[1] > 0].tobytes() for g in got], pa.binary())], ["lang", "places", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([np.flatnonzero(g[1]).astype(np.uint16).tobytes() for g in got], pa.binary()), pa.array([g[1][g[1] > 0].astype(np.float32).tobytes() for g in got], pa.binary())], ["lang", "places", "counts"])
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -126,13 +129,13 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     chosen = F.lit(False)
     for r in sizes:
         chosen = chosen | ((F.col("lang") == r["lang"]) & (draw < int((1 << 30) * min(1.0, fit_rows / len(sizes) / r["n"]))))
-    rows, labels = [], []
-    for r in known.where(chosen).select("lang", "text").mapInArrow(_features, "lang string, places binary, counts binary").collect() if sizes else []:
-        x = np.zeros(DIMS, np.int64)
-        x[np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["counts"], np.int64)
-        rows.append(x)
-        labels.append(r["lang"])
-    return Model(rows, labels)
+    if not sizes:
+        return Model(np.empty((0, DIMS), np.float32), [])
+    drawn = known.where(chosen).select("lang", "text").mapInArrow(_features, "lang string, places binary, counts binary").toArrow()
+    x = np.zeros((drawn.num_rows, DIMS), np.float32)
+    for k, (places, n) in enumerate(zip(drawn["places"], drawn["counts"], strict=True)):
+        x[k, np.frombuffer(places.as_py(), np.uint16)] = np.frombuffer(n.as_py(), np.float32)
+    return Model(x, drawn["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -154,13 +157,12 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose text is not rejected, all columns kept; one pass, no shuffle."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = [c.lower() for c in names].index("text")
+    frame, names = numbered(docs)
+    at = int(names["text"][1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             yield b.filter(pa.array([not m.predict(t.as_py())[2] for t in b.column(at)], pa.bool_()))
 
-    numbered = docs.toDF(*[f"_{i}" for i in range(len(names))])  # names may clash
-    return numbered.mapInArrow(run, numbered.schema).toDF(*names)
+    return frame.mapInArrow(run, frame.schema).toDF(*docs.columns)
