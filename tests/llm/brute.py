@@ -115,9 +115,27 @@ def dedup_lines(rows):
 
 
 def repeated_paragraphs(rows, least=50):
-    """{(doc_id, paragraph): first of its cluster} for clusters of two or more."""
-    sets = {(i, k): shingles(p) for i, t in rows for k, p in enumerate((t or "").split("\n")) if len(words(p)) >= least}
+    """{(doc_id, paragraph): first of its cluster} for clusters in two documents, or twice in one without overlap."""
+    sets, end = {}, {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        size = [len(words(x)) for x in lines]
+        for k, n in enumerate(size):
+            stop = k
+            while n < least and stop + 1 < len(lines) and size[stop + 1] < least and size[k] < least:
+                stop += 1
+                n += size[stop]
+            if size[k] and n >= least:
+                sets[i, k], end[i, k] = shingles("\n".join(lines[k : stop + 1])), stop
     ids = sorted(sets)
-    comp = groups(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if alike(sets[a], sets[b])])
-    size = Counter(comp.values())
-    return {k: c for k, c in comp.items() if size[c] > 1}
+    held = defaultdict(list)
+    for k in ids:
+        for x in sets[k]:
+            held[x].append(k)
+    near = {(a, b) for ks in held.values() for n, a in enumerate(ks) for b in ks[n + 1 :]}
+    comp = groups(ids, [(a, b) for a, b in near if alike(sets[a], sets[b])])
+    members = defaultdict(list)
+    for k, c in comp.items():
+        members[c].append(k)
+    good = {c for c, ks in members.items() if len({i for i, _ in ks}) > 1 or max(k for _, k in ks) > min(end[k] for k in ks)}
+    return {k: c for k, c in comp.items() if c in good}

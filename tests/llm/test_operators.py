@@ -205,9 +205,17 @@ def test_paragraphs_equal_brute_force(spark, rows):
     assert got == brute.repeated_paragraphs(texts) and got
 
 
+def test_passage_over_several_lines(spark):
+    passage = "\n".join(prose(k, 20) + "." for k in range(3))
+    data = [(k, prose(100 + k, 12) + "\n" + passage + "\n" + prose(200 + k, 12)) for k in range(4)] + [(9, prose(9, 120))]
+    got = substrings.repeated_paragraphs(spark.createDataFrame(data, DOCS)).collect()
+    assert {r["doc_id"] for r in got} == {0, 1, 2, 3} and {(r["cluster_doc"], r["removed"]) for r in got} == {(0, False), (0, True)}
+
+
 def test_paragraph_edges(spark, odd, empty):
     got = substrings.repeated_paragraphs(odd).collect()
     assert {r["doc_id"] for r in got} == {5, 6, 7, 8, None} and sum(not r["removed"] for r in got) == 1501
+    assert sorted((r["cluster_doc"] is None, r["removed"]) for r in got if r["doc_id"] in (8, None)) == [(True, False), (True, True), (True, True)]
     assert substrings.repeated_paragraphs(empty).count() == 0
 
 
