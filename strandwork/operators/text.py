@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Stemmed terms that are left out of frequent terms, by list.
+EXCLUDED_TERMS = {
+    "c": ("int", "void", "double", "long", "const", "return", "function", "char", "struct", "includ", "class", "templat", "type", "static", "array"),
+    "programming": ("code", "patch", "sourc", "compil", "build", "file", "check", "call", "declar", "line", "argument", "version", "foo"),
+    "conversation": ("pleas", "thank", "cheer", "instead", "look", "base", "add", "follow", "tri", "note", "use", "project"),
+}
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]+)"), 1)
@@ -19,11 +27,11 @@ def term_counts(docs: DataFrame, key: str, text: str, least_length: int = 1) ->
     return t.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def frequent_terms(counts: DataFrame, share: float = 0.1, most: int = 50, exclude: DataFrame | None = None) -> DataFrame:
-    """The most frequent ``share`` of terms, at most ``most``: (term, n), ties by term."""
-    t = counts.groupBy("term").agg(F.sum("tf").alias("n"))
-    if exclude is not None:
-        t = t.join(exclude.select("term"), "term", "left_anti")
+def frequent_terms(counts: DataFrame, share: float = 0.1, most: int = 50, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """The most frequent ``share`` of terms, at most ``most``: (term, n), ties by term; terms of the named lists don't count."""
+    unwanted = [x for name in exclude for x in EXCLUDED_TERMS[name]]
+    t = counts.where(~F.col("term").isin(unwanted)) if unwanted else counts
+    t = t.groupBy("term").agg(F.sum("tf").alias("n"))
     limit = t.agg(F.least(F.floor(F.count("*") * share), F.lit(most)).alias("k"))
     top = t.orderBy(F.desc("n"), "term").limit(most)
     ranked = top.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "term")))

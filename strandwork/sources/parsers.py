@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Extensions of source files, fixed values.
-SOURCE_EXTENSIONS = ("c", "cc", "cpp", "cxx", "cs", "asmx", "m", "mm", "js", "coffee", "java", "j", "jav", "php", "py", "sh", "rb", "d", "groovy", "h", "hh", "hpp", "hxx", "f", "f90", "pl", "r", "go", "sql", "scala")
+#: Endings of implementation files, fixed values; the last has no dot.
+SOURCE_ENDINGS = (
+    ".c", ".cc", ".cpp", ".cxx", ".cs", ".asmx", ".m", ".mm", ".js", ".coffee", ".java", ".j", ".jav", ".php", ".py", ".sh", ".rb",
+    ".d", ".php4", ".php5", ".inc", ".phtml", ".f", ".for", ".f90", ".idl", ".ddl", ".odl", ".tcl", "sql",
+)
 #: Tags of a commit message that link persons, fixed values.
-TAG_TYPES = ("Signed-off-by", "Acked-by", "Reviewed-by", "Tested-by", "CC", "Reported-by", "Patch")
+TAG_TYPES = ("Signed-off-by", "Acked-by", "CC", "Reviewed-by", "Reported-by", "Tested-by", "Patch")
 
 
 def git_log(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -56,7 +59,7 @@ def blame(text: DataFrame, content: str = "value", keys: tuple[str, ...] = ()) -
 def changed_files(lines: DataFrame, line: str = "value") -> DataFrame:
     """Status and name lines ("M\\tpath") as distinct source files of the statuses A, C, M, R, T and B."""
     f = lines.where(F.col(line).rlike(r"^[ACMRTB]\d*\t")).select(F.element_at(F.split(line, "\t"), -1).alias("file"))
-    return f.where(F.lower("file").rlike(r"\.(" + "|".join(SOURCE_EXTENSIONS) + ")$")).distinct()
+    return f.where(F.lower("file").rlike("(" + "|".join(x.replace(".", r"\.") for x in SOURCE_ENDINGS) + ")$")).distinct()
 
 
 def numstat(rows: DataFrame, keys: tuple[str, ...] = ("file",), order: str = "seq") -> DataFrame:

@@ -253,3 +253,13 @@ def test_semantic_coupling_drops_terms_of_all(spark):
     c = text.term_counts(d, "doc_id", "text")
     assert [(a, b) for a, b, _ in rows(text.tfidf_coupling(c, "doc_id", 0.5))] == [(1, 2), (3, 4)]
     assert [(r["a"], r["b"]) for r in text.lsa_coupling(c.withColumn("g", F.lit(1)), "g", "doc_id", 2, 0.7).collect()] == [(1, 2), (3, 4)]
+
+
+def test_frequent_terms_without_excluded_lists(spark):
+    c = spark.createDataFrame([(1, "patch", 9), (1, "kernel", 5), (2, "kernel", 1), (2, "int", 8), (2, "note", 7)], "doc bigint, term string, tf bigint")
+    assert rows(text.frequent_terms(c, 1.0, 50, ("c", "programming", "conversation"))) == [("kernel", 6)]
+
+
+def test_source_files(spark):
+    lines = spark.createDataFrame([(x,) for x in ("M\tA.C", "A\tb.h", "D\tc.c", "R100\told.py\tnew.py", "M\tmysql", "M\tx.phtml")], "value string")
+    assert rows(P.changed_files(lines)) == [("A.C",), ("mysql",), ("new.py",), ("x.phtml",)]
