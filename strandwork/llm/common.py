@@ -179,6 +179,16 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(low.where("m < u")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+#: 64-bit words of a set's signature.
+SIGNATURE = 16
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """1024 parity bits of a set of tokens: two signatures differ in at most as many bits as the sets in tokens."""
+    odd = np.bincount((s.view(np.uint64) >> np.uint64(54)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
         small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
         old, e = e, materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         discard(old)

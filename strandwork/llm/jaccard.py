@@ -29,10 +29,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, materialize, numbered, plain, row_key, set_key, ship, text_shingles
+from .common import bounded, discard, materialize, numbered, plain, row_key, set_key, ship, signature, text_shingles
 from .linkage import link_components
 
 PERCENT = 80
+SETS = "node bigint, toks array<bigint>, sig array<bigint>"
 _NO_ID = -(2**62)
 #: Tokens in more prefixes than this go to the end of the token order.
 HOT = 32
@@ -65,10 +66,21 @@ def _parser(percent: int):  # noqa: ANN202
     return parse
 
 
+def _found(nodes: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([nodes, pa.array(sets, pa.list_(pa.int64())), pa.array([signature(x) for x in sets], pa.list_(pa.int64()))], ["node", "toks", "sig"])
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) to (node, toks)."""
+    """(node, text) to (node, toks, sig)."""
+    for b in batches:
+        yield _found(b.column(0), [text_shingles(t.as_py()) for t in b.column(1)])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (node, toks, sig) with the set's key for its node."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_shingles(t.as_py()) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "toks"])
+        sets = [s for s in (text_shingles(t.as_py()) for t in b.column(1)) if len(s)]
+        yield _found(pa.array(map(set_key, sets), pa.int64()), sets)
 
 
 def _p(n: str, percent: int) -> Column:
@@ -171,10 +183,10 @@ def _components(docs: DataFrame, percent: int, hot: int) -> DataFrame:
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         if repeated:
-            return texts.mapInArrow(_keyed, "node bigint, toks array<bigint>").join(bounded(wanted), "node", "left_semi").dropDuplicates(["node"])
+            return texts.mapInArrow(_keyed, SETS).join(bounded(wanted), "node", "left_semi").dropDuplicates(["node"])
         ids = base.join(wanted.withColumnRenamed("node", "k1"), "k1", "left_semi").groupBy("k1").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("id"))
         found = texts.withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID))).join(bounded(materialize(ids)), "id").select("k1", "text")
-        return found.mapInArrow(_tokens, "node bigint, toks array<bigint>")
+        return found.mapInArrow(_tokens, SETS)
 
     layout = "node bigint, n bigint, pref array<bigint>"
     small = boundary(nodes.select("n"), percent)
@@ -207,13 +219,6 @@ def _components(docs: DataFrame, percent: int, hot: int) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "key", "comp")
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (node, toks) with the set's key for its node."""
-    for b in batches:
-        sets = [s for s in (text_shingles(t.as_py()) for t in b.column(1)) if len(s)]
-        yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "toks"])
-
-
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component, of the smallest doc_id in it, and all rows without words; copies of a row stay one."""
     found = materialize(_components(docs, percent, HOT))

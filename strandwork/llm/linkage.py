@@ -7,8 +7,9 @@ enough share a key at least.
 
 Keys with few nodes give all their pairs.  Keys with many give, first, the pairs
 of each node with one central node; once those are verified and joined into
-components, only pairs of nodes of *different* components are left to compare,
-so a group of near copies costs about its size.  Every pair that could link is
+components, only pairs of nodes of *different* components are left to compare, and
+of those the ones that sizes, positions and signatures allow, so a group of near
+copies costs about its size.  Every pair that could link is
 either verified or already connected: the components are those of all links.
 """
 
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize
+from .common import SIGNATURE, components, discard, materialize
 
 #: Keys held by more nodes than this go by way of a central node.
 LIGHT = 16
@@ -31,6 +32,12 @@ def can_reach(percent: int, na: str, nb: str, pa: str, pb: str) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * most >= percent * (F.expr(f"{na} + {nb}") - most))
 
 
+def can_agree(percent: int) -> Column:
+    """Bitmap filter: the signatures differ in no more bits than two sets of these sizes may differ in tokens."""
+    differ = F.expr(" + ".join(f"bit_count(s{k}_a ^ s{k}_b)" for k in range(SIGNATURE)))
+    return (100 + percent) * differ <= (100 - percent) * F.expr("n_a + n_b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose sets (node, toks) have Jaccard similarity of ``percent`` or more."""
     a = sets.select(F.col("node").alias("u"), F.col("toks").alias("ta"))
@@ -40,7 +47,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_components(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, light: int = LIGHT) -> DataFrame:
-    """A table (node, comp) of the nodes that link with another node; ``sets_of(nodes)`` gives (node, toks) for a table of nodes."""
+    """A table (node, comp) of the nodes that link with another node; ``sets_of(nodes)`` gives (node, toks, sig) for a table of nodes."""
     held = materialize(postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))  # by itself: its shuffle is gone before the next
     p = materialize(postings.join(held, "key"))
     discard(held)
@@ -61,10 +68,12 @@ def link_components(postings: DataFrame, sets_of: Callable[[DataFrame], DataFram
     if not heavy.isEmpty():
         h = heavy.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = h.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        h = materialize(h.join(mixed, "key").select("key", "node", "n", "pos", "comp"))
-        a = h.select("key", *[F.col(x).alias(f"{x}_a") for x in ("node", "n", "pos", "comp")])
-        b = h.select("key", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "pos", "comp")])
-        rest = ends(a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & ok)).distinct()
+        bits = [F.col("sig")[k].alias(f"s{k}") for k in range(SIGNATURE)]
+        h = materialize(h.join(mixed, "key").select("key", "node", "n", "pos", "comp").join(sets.select("node", *bits), "node"))
+        own = ("node", "n", "pos", "comp", *[f"s{k}" for k in range(SIGNATURE)])
+        a = h.select("key", *[F.col(x).alias(f"{x}_a") for x in own])
+        b = h.select("key", *[F.col(x).alias(f"{x}_b") for x in own])
+        rest = ends(a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & ok & can_agree(percent))).distinct()
         more = materialize(verified(rest, sets, percent))
         if not more.isEmpty():
             before, comps = comps, materialize(components(links.union(more)))
