@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame
 from .common import plain, ship
 
 #: Pieces whose ids are remembered in a Python worker; beyond that the memory starts anew.
-MEMO = 400_000
+MEMO = 120_000
+#: Pairs of tokens whose compatibility is remembered.
+MEMO_PAIRS = 150_000
 #: Pieces longer than this are not remembered.
 MEMO_BYTES = 64
 
@@ -73,7 +75,7 @@ class Encoder:
         key = (left, right)
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) > 1_000_000:
+            if len(self._compatible) >= MEMO_PAIRS:
                 self._compatible.clear()
             known = self._compatible[key] = self._stays(left, right)
         return known
