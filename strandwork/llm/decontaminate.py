@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, ascii_lower, materialize, numbered, plain, row_key, words
+from .common import SHINGLE, ascii_lower, bounded, materialize, numbered, plain, row_key, words
 
 PERCENT = 80
 BLOCKS, NEAR = 8, 2
@@ -123,5 +123,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows that hold a passage of the benchmark."""
     frame, at = numbered(docs)
-    bad = contaminated(docs, benchmark, percent).select(F.col("row").alias("_row")).distinct()
+    bad = bounded(materialize(contaminated(docs, benchmark, percent).select(F.col("row").alias("_row")).distinct()))
     return frame.withColumn("_row", row_key(at["doc_id"], at["text"])).join(bad, "_row", "left_anti").select(*frame.columns).toDF(*docs.columns)

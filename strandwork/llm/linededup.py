@@ -18,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, numbered, plain, row_key
+from .common import ascii_lower, bounded, discard, materialize, numbered, plain, row_key
 
 #: A key of at least so many code points in at least so many documents is dropped.
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Bitmaps (about 150 bytes each) of up to so many documents are broadcast.
+MOST_BITMAPS = 200_000
 #: Lines in a word of a bitmap.
 WORD = 63
 _NO_ID = -(2**63) + 1
@@ -43,17 +45,22 @@ def _long_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Rows (row, n_dropped, dropped): for rows that lose lines, their key, how many, and a map of word to bits."""
+    """A table (row, n_dropped, dropped): for rows that lose lines, their key, how many, and a map of word to bits."""
     keys = materialize(_long_keys(docs, min_chars))
     first = keys.select("h1", "h2", "id").repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "id").distinct()
     common = first.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = keys.join(common, ["h1", "h2"]).where("id <> keeper").select("row", "pos").distinct()
+    common = materialize(common)
+    lost = keys.join(bounded(common), ["h1", "h2"]).where("id <> keeper").select("row", "pos").distinct()
     bits = lost.groupBy("row", F.expr(f"pos div {WORD}").cast("int").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pos % {WORD} as int)))").alias("bits"), F.count("*").alias("n"))
-    return bits.groupBy("row").agg(F.sum("n").alias("n_dropped"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("dropped"))
+    bitmaps = bits.groupBy("row").agg(F.sum("n").alias("n_dropped"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("dropped"))
+    out = materialize(bitmaps)
+    discard(keys, common)
+    return out
 
 
 def _kept(frame: DataFrame, doc_id: str, text: str, bitmaps: DataFrame) -> DataFrame:
     """``frame`` with _lines, _dropped (how many) and _kept, the text of the other lines."""
+    bitmaps = F.broadcast(bitmaps) if bitmaps.count() <= MOST_BITMAPS else bitmaps  # beyond that the texts are shuffled
     marks = bitmaps.select(F.col("row").alias("_row"), F.col("n_dropped").alias("_n"), F.col("dropped").alias("_d"))
     both = frame.withColumn("_row", row_key(doc_id, text)).join(marks, "_row", "left").withColumn("_l", lines(F.col(text)))
     left = F.expr(f"filter(_l, (x, i) -> (coalesce(try_element_at(_d, cast(i div {WORD} as int)), 0L) & shiftleft(1L, i % {WORD})) = 0)")
