@@ -159,8 +159,18 @@ def text_shingles(text: str | None) -> np.ndarray:
 
 def set_key(s: np.ndarray) -> int:
     """A hash of a set of tokens."""
-    with np.errstate(over="ignore"):
-        return int(mix(mix(s.view(np.uint64)).sum(dtype=np.uint64) + np.array([len(s)], np.uint64)).view(np.int64)[0])
+    total = mix(s.view(np.uint64)).sum(dtype=np.uint64, keepdims=True)
+    return int(mix(total + np.uint64(len(s))).view(np.int64)[0])
+
+
+#: 64-bit words of a set's signature.
+SIGNATURE = 16
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """1024 parity bits of a set of tokens: two signatures differ in at most as many bits as the sets in tokens."""
+    odd = np.bincount((s.view(np.uint64) >> np.uint64(54)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 # --------------------------------------------------------------- components
