@@ -8,6 +8,7 @@ bits (sets: 128 for grouping), so equality of hashes is taken as equality.
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -50,7 +51,7 @@ def materialize(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(schema).parquet(path)
@@ -90,16 +91,31 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 _SHIPPED: set[str] = set()
 
 
+#: Rows of an Arrow batch; texts can be long, and a Python worker holds a batch and its results at once.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application: its Python functions are loaded there by name."""
+    """Make the session ready for this package's Python functions.
+
+    Sends the package to the executors by way of the shared folder, once for each application, as
+    functions are loaded there by name; and lowers the session's Arrow batches to ``BATCH_ROWS``.
+    """
     sc = spark.sparkContext
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if sc.applicationId not in _SHIPPED:
-        top = Path(__file__).resolve().parents[1]
-        path = Path(tempfile.mkdtemp(prefix="strandwork-")) / "strandwork-code.zip"
-        with zipfile.ZipFile(path, "w") as z:
+        top, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
             for f in sorted(top.rglob("*.py")):
                 z.write(f, f.relative_to(top.parent))
-        sc.addPyFile(str(path))
+        name = f"{shared_dir(spark)}/strandwork-{uuid.uuid4().hex}.zip"
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)  # noqa: SLF001
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)  # noqa: SLF001
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        sc.addPyFile(name)
         _SHIPPED.add(sc.applicationId)
 
 
@@ -189,16 +205,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(low.where("m < u")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-#: 64-bit words of a set's signature.
-SIGNATURE = 16
-
-
-def signature(s: np.ndarray) -> np.ndarray:
-    """1024 parity bits of a set of tokens: two signatures differ in at most as many bits as the sets in tokens."""
-    odd = np.bincount((s.view(np.uint64) >> np.uint64(54)).astype(np.int64), minlength=64 * SIGNATURE) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
         small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
         old, e = e, materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         discard(old)

@@ -114,8 +114,10 @@ class Frequent:
         got = {} if other is None else dict(zip(other.tokens.tolist(), other.classes.tolist(), strict=True))
         if tokens is not None:
             counted = tokens.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > hot)
-            for r in counted.orderBy(F.desc("c"), "t").limit(most).collect():
+            table = materialize(counted.orderBy(F.desc("c"), "t").limit(most))  # a table, as its shuffle is dropped then
+            for r in table.collect():
                 got[r["t"]] = max(got.get(r["t"], 0), r["c"].bit_length())
+            discard(table)
         self.tokens = np.array(sorted(got), np.int64)
         self.classes = np.array([got[t] for t in self.tokens.tolist()], np.int64)
 
@@ -203,9 +205,10 @@ def _components(docs: DataFrame, percent: int, hot: int) -> DataFrame:
         cut = materialize(nodes.mapInArrow(_cutter(frequent, percent), layout))
         discard(full, first_rows)
         more = materialize(cut.where("pref IS NULL").select("node").join(short, "node", "left_anti"))
-        late = whole if more.isEmpty() else whole.union(sets_of(more))
-        late = materialize(late.mapInArrow(_orderer(frequent, percent), layout).join(cut.where("pref IS NULL").select("node"), "node", "left_semi"))
-        discard(short, whole, more)
+        rest = materialize(sets_of(more))  # by itself: a task runs one Python worker at a time
+        late = whole.union(rest).mapInArrow(_orderer(frequent, percent), layout)
+        late = materialize(late.join(bounded(materialize(cut.where("pref IS NULL").select("node"))), "node", "left_semi"))
+        discard(short, whole, more, rest)
         pref = cut.where("pref IS NOT NULL").union(late)
         comps = link_components(keys(pref, small, percent), sets_of, percent)
         discard(cut, late)
@@ -223,6 +226,10 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component, of the smallest doc_id in it, and all rows without words; copies of a row stay one."""
     found = materialize(_components(docs, percent, HOT))
     first = found.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("comp").agg(F.min("key").alias("_key")).select("_key")
-    keep = first.union(found.where("n_shingles = 0").select("key")).distinct()
+    keep = bounded(materialize(first.union(found.where("n_shingles = 0").select("key")).distinct()))
     frame, at = numbered(docs)
-    return frame.withColumn("_key", row_key(at["doc_id"], at["text"])).join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*frame.columns).toDF(*docs.columns)
+    kept = frame.withColumn("_key", row_key(at["doc_id"], at["text"])).join(keep, "_key", "left_semi")
+    # Only where rows are repeated do the texts need a shuffle to become one.
+    copies = not found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    kept = kept.dropDuplicates(["_key"]) if copies else kept
+    return kept.select(*frame.columns).toDF(*docs.columns)

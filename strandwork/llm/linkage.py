@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIGNATURE, components, discard, materialize
+from .common import SIGNATURE, bounded, components, discard, materialize
 
 #: Keys held by more nodes than this go by way of a central node.
 LIGHT = 16
@@ -39,10 +39,15 @@ def can_agree(percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose sets (node, toks) have Jaccard similarity of ``percent`` or more."""
-    a = sets.select(F.col("node").alias("u"), F.col("toks").alias("ta"))
-    b = sets.select(F.col("node").alias("v"), F.col("toks").alias("tb"))
-    j = pairs.join(a, "u").join(b, "v").withColumn("o", F.size(F.array_intersect("ta", "tb")))
+    """Pairs of a table (u, v) whose sets (node, toks) have Jaccard similarity of ``percent`` or more.
+
+    Sets are much larger than pairs: the pairs go to the sets of their first ends, and of the second
+    ends only those that are needed are shuffled.
+    """
+    second = materialize(pairs.select(F.col("v").alias("node")).distinct())
+    a = sets.select(F.col("node").alias("u"), F.col("toks").alias("ta")).join(bounded(pairs), "u")
+    b = sets.join(bounded(second), "node", "left_semi").select(F.col("node").alias("v"), F.col("toks").alias("tb"))
+    j = a.join(b, "v").withColumn("o", F.size(F.array_intersect("ta", "tb")))
     return j.where(100 * F.col("o") >= percent * (F.size("ta") + F.size("tb") - F.col("o"))).select("u", "v")
 
 
@@ -74,10 +79,11 @@ def link_components(postings: DataFrame, sets_of: Callable[[DataFrame], DataFram
         a = h.select("key", *[F.col(x).alias(f"{x}_a") for x in own])
         b = h.select("key", *[F.col(x).alias(f"{x}_b") for x in own])
         rest = ends(a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & ok & can_agree(percent))).distinct()
+        rest = materialize(rest)
         more = materialize(verified(rest, sets, percent))
         if not more.isEmpty():
             before, comps = comps, materialize(components(links.union(more)))
             discard(before)
-        discard(h, more)
+        discard(h, rest, more)
     discard(p, sets, links)
     return comps
