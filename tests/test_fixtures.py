@@ -263,3 +263,43 @@ def test_frequent_terms_without_excluded_lists(spark):
 def test_source_files(spark):
     lines = spark.createDataFrame([(x,) for x in ("M\tA.C", "A\tb.h", "D\tc.c", "R100\told.py\tnew.py", "M\tmysql", "M\tx.phtml")], "value string")
     assert rows(P.changed_files(lines)) == [("A.C",), ("mysql",), ("new.py",), ("x.phtml",)]
+
+
+def brute_triangle_communities(edges):
+    """Sets of the vertices of each community, by union of triangles that share an edge."""
+    es = {tuple(sorted(e)) for e in edges if e[0] != e[1]}
+    vs = sorted({v for e in es for v in e})
+    held = [{(a, b), (a, c), (b, c)} for a in vs for b in vs for c in vs if a < b < c and {(a, b), (a, c), (b, c)} <= es]
+    out = []
+    for t in held:
+        near = [x for x in out if x & t]
+        out = [x for x in out if not x & t] + [t.union(*near)]
+    return sorted(tuple(sorted({v for e in x for v in e})) for x in out)
+
+
+def test_triangle_communities_equal_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    edges = [(a, b) for a in range(26) for b in range(26) if r.random() < 0.09] + [(k, k + 1) for k in range(40, 44)] + [(50, 51), (51, 52), (52, 50), (52, 53), (53, 54), (54, 52)]
+    got = {}
+    for vertex, community in rows(G.clique_communities(graph(spark, edges))):
+        got.setdefault(community, []).append(vertex)
+    want = brute_triangle_communities(edges)
+    assert sorted(tuple(sorted(x)) for x in got.values()) == want and len(want) > 3 and (50, 51, 52) in want
+
+
+@pytest.fixture
+def two_threads(spark, tmp_path):
+    """Folder of a lineitem table whose threads 1 and 401 no modulo filter of 40 or 400 keeps."""
+    mails = [(thread, k + 1, base + k, base + k, f"2024-01-0{k + 1}") for thread, base in ((1, 0), (401, 10)) for k in range(3)]
+    d = spark.createDataFrame(mails, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_partkey bigint, d string")
+    d.select("*", F.to_timestamp_ntz("d").alias("l_shipdate"), F.lit(1.0).alias("l_quantity"), F.lit("A").alias("l_returnflag")).drop("d").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["pagerank_reversed", "clique_communities"])
+def test_mail_networks_without_sql_read_all_threads(spark, two_threads, name):
+    from strandwork.plans.catalog import REGISTRY
+
+    assert sorted({r["vertex"] for r in REGISTRY.queries[name](spark, two_threads).collect()}) == [0, 1, 2, 10, 11, 12]
