@@ -5,8 +5,9 @@ DataFrame operations only.  Places of matches come from the pieces between them:
 lengths of pieces and matches add up to code-point offsets.  Weak candidates
 (identifiers, random-looking strings, endpoints) are reported only where a
 complementary part is near: an interval join of the parts of a document within
-scopes of ``SCOPE`` code points (each part in its own and both next scopes) links
-identifiers and endpoints with secrets.  Only parts are shuffled, never text.
+scopes of ``SCOPE`` code points links identifiers and endpoints with secrets: weak
+parts are in all scopes that they and ``SCOPE`` around them touch, others in all that
+they touch, so parts of any length meet wherever their gap is within ``SCOPE``.  Only parts are shuffled, never text.
 
 Defined cases: null and empty texts have no spans; rows that repeat a doc_id are
 scanned each by itself; a null doc_id stays null; an empty table gives no rows; further columns, clashing
@@ -75,9 +76,10 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     parts = found.where("size(weak) > 0").select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s.*")
     # Identifiers and endpoints complement secrets.
-    parts = parts.withColumn("secret", F.col("kind").isin(0, 2, 4)).withColumn("scope", F.expr(f"start div {scope}"))
-    weak = parts.where("kind > 2").select("row", "start", "kind", "end", "secret", F.explode(F.expr("array(scope - 1, scope, scope + 1)")).alias("scope"))
-    other = parts.select("row", "scope", F.col("secret").alias("other"), F.col("start").alias("from"), F.col("end").alias("to"))
+    parts = parts.withColumn("secret", F.col("kind").isin(0, 2, 4))
+    touched = lambda lo, hi: F.explode(F.expr(f"sequence(cast(floor(({lo}) / {scope}) AS int), cast(floor(({hi}) / {scope}) AS int))")).alias("scope")
+    weak = parts.where("kind > 2").select("row", "start", "kind", "end", "secret", touched(f"start - {scope}", f"end + {scope}"))
+    other = parts.select("row", F.col("secret").alias("other"), F.col("start").alias("from"), F.col("end").alias("to"), touched("start", "end"))
     linked = weak.join(other, ["row", "scope"]).where((F.col("secret") != F.col("other")) & (F.col("from") - F.col("end") <= scope) & (F.col("start") - F.col("to") <= scope))
     added = linked.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
     out = found.join(added, "row", "left").withColumn("added", F.coalesce("added", F.expr("cast(array() AS array<struct<start:int,kind:int,end:int>>)")))

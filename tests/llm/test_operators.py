@@ -104,6 +104,18 @@ def test_weak_parts_need_a_complement_in_scope(spark):
     assert got[4].startswith("endpoint:0:18,secret:")
 
 
+@pytest.mark.parametrize("before", [0, 1, 150, 199, 200, 333])
+def test_weak_parts_meet_by_their_gap_alone(spark, before):
+    secret, url = "Zx9" + "aB3dE5" * 3, "https://host.org/"
+    pad = " " * before
+    docs = [
+        (1, pad + url + "x" * 43 + " " * 180 + secret), (2, pad + url + "x" * 433 + " " + secret), (3, pad + "token: eyJ" + "a1B2c3" * 100 + " " + url + "y"),
+        (4, pad + secret + " " * 200 + url + "x"), (5, pad + url + "x" * 43 + " " * 200 + secret), (6, pad + url + "x" * 43 + " " * 201 + secret), (7, pad + secret + " " * 201 + url + "x"),
+    ]
+    got = {r["doc_id"]: r["n_linked"] for r in secrets.scan(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 2, 5: 2, 6: 0, 7: 0}
+
+
 # ---------------------------------------------------------------- 3 quality
 def test_quality_counts(spark, rows):
     for i, t in rows:
