@@ -156,14 +156,16 @@ def rule_summary(t: Tables) -> DataFrame:
 _TOUCH = "touch AS (SELECT DISTINCT l_suppkey AS d, l_partkey AS a FROM lineitem WHERE l_partkey < 200), comm AS (SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS x, greatest(a.l_suppkey, b.l_suppkey) AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_orderkey % 10 = 0)"
 
 
-def _touch(t: Tables) -> DataFrame:
-    return t.dependencies.where("entity < 200").select(F.col("file").alias("dev"), F.col("entity").alias("artifact")).distinct()
+def _touch(t: Tables, part: str = "entity < 200") -> DataFrame:
+    """Who touches what; by default cut as in ``_TOUCH``."""
+    return t.dependencies.where(part).select(F.col("file").alias("dev"), F.col("entity").alias("artifact")).distinct()
 
 
-def _communication(t: Tables) -> DataFrame:
+def _communication(t: Tables, part: str = "commit_id % 10 = 0") -> DataFrame:
+    """Who shares a commit; by default cut as in ``_TOUCH``."""
     from ..operators.relational import project_bipartite
 
-    return project_bipartite(t.dependencies.where("commit_id % 10 = 0"), "file", "commit_id").select(F.col("p1").alias("d1"), F.col("p2").alias("d2"))
+    return project_bipartite(t.dependencies.where(part), "file", "commit_id").select(F.col("p1").alias("d1"), F.col("p2").alias("d2"))
 
 
 @query("triangle_motifs", f"""
@@ -193,8 +195,8 @@ def socio_technical_graph(t: Tables) -> DataFrame:
 
 @query("motif_null_model", None, (258, 262, 279))
 def motif_null_model(t: Tables) -> DataFrame:
-    """Triangle motifs of rewired graphs (20 seeded draws), by draw."""
-    return M.null_model(_touch(t), _communication(t), 20)
+    """Triangle motifs of rewired graphs of all entities and commits (20 seeded draws), by draw."""
+    return M.null_model(_touch(t, "true"), _communication(t, "true"), 20)
 
 
 @query("lag_variants", """

@@ -303,3 +303,14 @@ def test_mail_networks_without_sql_read_all_threads(spark, two_threads, name):
     from strandwork.plans.catalog import REGISTRY
 
     assert sorted({r["vertex"] for r in REGISTRY.queries[name](spark, two_threads).collect()}) == [0, 1, 2, 10, 11, 12]
+
+
+def test_null_model_reads_all_entities_and_commits(spark, tmp_path):
+    from strandwork.plans.catalog import REGISTRY
+
+    lines = [(commit, dev, entity) for commit, devs in ((11, (1, 2)), (12, (3, 4)), (13, (1, 4))) for dev in devs for entity in (250, 300 + dev)]
+    d = spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint, l_partkey bigint")
+    d.select("*", F.lit(1).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"), F.lit("A").alias("l_returnflag"), F.lit("2024-01-01").cast("timestamp_ntz").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = rows(REGISTRY.queries["motif_null_model"](spark, str(tmp_path)))
+    # Entity 250 keeps its four developers, of whom three pairs share a commit.
+    assert len(got) == 20 and all((m, a) == (6, 6) for _, m, a in got)
