@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all is on one machine, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all machines share")
         path = tempfile.mkdtemp(prefix="strandwork-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -70,7 +72,8 @@ def reciprocity(edges: DataFrame, graph: tuple[str, ...] = ()) -> DataFrame:
 def transitivity(edges: DataFrame) -> DataFrame:
     """Local transitivity of each vertex: triangles over pairs of neighbours; null below two neighbours.
 
-    Edges are oriented from the vertex of lower degree, which bounds the wedges by O(m^1.5).
+    Edges are oriented from the vertex of lower degree, so that no vertex has more than sqrt(2 m) outgoing
+    ones; the triangles of an edge are the common ends of its two vertices.
     """
     u = written(undirected(edges))
     both = u.union(u.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -78,9 +81,11 @@ def transitivity(edges: DataFrame) -> DataFrame:
     o = u.join(deg.withColumnRenamed("d", "du"), "u").join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
     forward = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
     o = o.select(F.when(forward, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(forward, F.col("v")).otherwise(F.col("u")).alias("b"))
-    wedge = o.select("a", "b").join(o.select("a", F.col("b").alias("c")), "a").where("b < c")
-    tri = wedge.join(u.select(F.col("u").alias("b"), F.col("v").alias("c")), ["b", "c"])
-    per = tri.select(F.explode(F.array("a", "b", "c")).alias("u")).groupBy("u").agg(F.count("*").alias("t"))
+    out = o.groupBy("a").agg(F.collect_list("b").alias("outs"))
+    tri = o.join(out, "a").join(out.select(F.col("a").alias("b"), F.col("outs").alias("others")), "b").select("a", "b", F.array_intersect("outs", "others").alias("c"))
+    tri = written(tri.where(F.size("c") > 0))
+    ends = tri.select(F.explode(F.array("a", "b")).alias("u"), F.size("c").cast("bigint").alias("n")).union(tri.select(F.explode("c"), F.lit(1).cast("bigint")))
+    per = ends.groupBy("u").agg(F.sum("n").alias("t"))
     c = deg.join(per, "u", "left").select(F.col("u").alias("vertex"), "d", F.coalesce("t", F.lit(0)).alias("triangles"))
     return c.select("vertex", F.col("d").alias("degree"), "triangles", F.when(F.col("d") > 1, 2 * F.col("triangles") / (F.col("d") * (F.col("d") - 1))).alias("transitivity"))
 

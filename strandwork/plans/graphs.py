@@ -10,8 +10,7 @@ from ..operators import networks as N
 from ..sources.tables import Tables
 from .base import query
 
-#: Mails of every fortieth thread only; what reads it is cut alike (README).
-_E = "e AS (SELECT a.l_suppkey AS from_id, b.l_suppkey AS to_id, count(*) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey AND a.l_shipdate > b.l_shipdate WHERE a.l_orderkey % 40 = 0 GROUP BY 1, 2)"
+_E = "e AS (SELECT a.l_suppkey AS from_id, b.l_suppkey AS to_id, count(*) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey AND a.l_shipdate > b.l_shipdate GROUP BY 1, 2)"
 _U = "u AS (SELECT DISTINCT least(from_id, to_id) AS u, greatest(from_id, to_id) AS v FROM e), both_ AS (SELECT u, v FROM u UNION ALL SELECT v, u FROM u)"
 #: Parts that change together twice or more: a sparse graph of many components.
 _S = "k AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS e FROM lineitem), s AS (SELECT x.e AS from_id, y.e AS to_id, count(*) AS weight FROM k x JOIN k y ON x.c = y.c AND x.e < y.e GROUP BY 1, 2 HAVING count(*) >= 3)"
@@ -19,8 +18,8 @@ _MEMBER = "m AS (SELECT s_suppkey AS vertex, s_nationkey AS community FROM suppl
 
 
 def _edges(t: Tables) -> DataFrame:
-    """The cut network of ``_E``; queries without SQL read all mails."""
-    return N.mail_edges(t.mails.where("thread % 40 = 0"))
+    """The network of all mails."""
+    return N.mail_edges(t.mails)
 
 
 def _sparse(t: Tables) -> DataFrame:
@@ -84,7 +83,7 @@ def pagerank(t: Tables) -> DataFrame:
 @query("pagerank_reversed", None, (238, 269))
 def pagerank_reversed(t: Tables) -> DataFrame:
     """PageRank of the network of all mails along reversed edges with damping 0.3, and the class by its 80 % quantile."""
-    e = N.mail_edges(t.mails).select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "weight")
+    e = _edges(t).select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "weight")
     r = G.written(G.pagerank(e, 0.3, 20))
     return r.join(F.broadcast(r.agg(F.percentile("rank", F.lit(0.8)).alias("q")))).select("vertex", F.round("rank", 8).alias("rank"), G.rank_class(F.col("rank"), F.col("q")).alias("class"))
 
@@ -179,17 +178,17 @@ def cluster_tracking(t: Tables) -> DataFrame:
     return G.track_clusters(G.cluster_overlap(*_two(t)).withColumn("range", F.lit(1).cast("bigint")))
 
 
-def _half_sql(k: int) -> str:
-    return f"SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS u, greatest(a.l_suppkey, b.l_suppkey) AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey AND a.l_shipdate > b.l_shipdate WHERE a.l_orderkey % 40 = {k}"
+def _half_sql(when: str) -> str:
+    return f"SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS u, greatest(a.l_suppkey, b.l_suppkey) AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey AND a.l_shipdate > b.l_shipdate WHERE a.l_shipdate {when} TIMESTAMP '1995-07-01' AND b.l_shipdate {when} TIMESTAMP '1995-07-01'"
 
 
 @query("graph_difference", f"""
-WITH a AS ({_half_sql(0)}), b AS ({_half_sql(20)}), sh AS (SELECT x FROM (SELECT u AS x FROM a UNION SELECT v FROM a) INTERSECT SELECT x FROM (SELECT u AS x FROM b UNION SELECT v FROM b)),
+WITH a AS ({_half_sql('<')}), b AS ({_half_sql('>=')}), sh AS (SELECT x FROM (SELECT u AS x FROM a UNION SELECT v FROM a) INTERSECT SELECT x FROM (SELECT u AS x FROM b UNION SELECT v FROM b)),
 j AS (SELECT coalesce(a.u, b.u) AS u, coalesce(a.v, b.v) AS v, a.u IS NOT NULL AND b.u IS NOT NULL AS both_ FROM a FULL JOIN b ON a.u = b.u AND a.v = b.v), k AS (SELECT * FROM j WHERE u IN (SELECT x FROM sh) AND v IN (SELECT x FROM sh))
 SELECT vertex, round(1 - avg(CASE WHEN both_ THEN 1 ELSE 0 END), 6) AS difference FROM (SELECT u AS vertex, both_ FROM k UNION ALL SELECT v, both_ FROM k) GROUP BY 1""", (266,))
 def graph_difference(t: Tables) -> DataFrame:
-    """Difference of two mail networks, by vertex."""
-    a, b = (N.mail_edges(t.mails.where(f"thread % 40 = {k}")) for k in (0, 20))
+    """Difference of the mail networks before and after a date, by vertex."""
+    a, b = (N.mail_edges(t.mails.where(f"sent {when} timestamp_ntz '1995-07-01'")) for when in ("<", ">="))
     return G.graph_difference(a, b).withColumn("difference", F.round("difference", 6))
 
 
@@ -282,7 +281,7 @@ def walktrap(t: Tables) -> DataFrame:
 @query("clique_communities", None, (243,))
 def clique_communities(t: Tables) -> DataFrame:
     """Overlapping communities of triangles in the network of all mails."""
-    return G.clique_communities(N.mail_edges(t.mails))
+    return G.clique_communities(_edges(t))
 
 
 @query("power_law", "WITH n AS (SELECT o_custkey, count(*) AS x FROM orders GROUP BY 1) SELECT count(*) AS n, round(1 + count(*) / sum(ln(x / 4.5)), 6) AS alpha FROM n WHERE x >= 5", (251,))

@@ -79,11 +79,12 @@ def proximity_edges(t: Tables) -> DataFrame:
 
 
 @query("feature_edges", f"""
-WITH {_AUTHORED}, g AS (SELECT file AS feature, author, count(*) AS lines FROM a WHERE file < 20 GROUP BY 1, 2)
+WITH {_AUTHORED}, g AS (SELECT file AS feature, c_nationkey AS author, count(*) AS lines FROM a JOIN customer ON c_custkey = author GROUP BY 1, 2)
 SELECT x.author AS from_id, y.author AS to_id, sum(least(x.lines, y.lines))::BIGINT AS weight FROM g x JOIN g y ON x.feature = y.feature AND x.author <> y.author GROUP BY 1, 2""", (225,))
 def feature_edges(t: Tables) -> DataFrame:
-    """Authors of the same features (of the twenty first files)."""
-    return N.feature_edges(t.authored.where("file < 20").groupBy(F.col("file").alias("feature"), "author").agg(F.count("*").alias("lines")))
+    """Teams (nations of the authors) who work on the same features."""
+    a = t.authored.join(t.customer.select(F.col("c_custkey").alias("author"), F.col("c_nationkey").alias("team")), "author")
+    return N.feature_edges(a.groupBy(F.col("file").alias("feature"), F.col("team").alias("author")).agg(F.count("*").alias("lines")))
 
 
 @query("code_blocks", """
@@ -153,19 +154,19 @@ def rule_summary(t: Tables) -> DataFrame:
 
 
 # ---------------------------------------------------------------- motifs
-_TOUCH = "touch AS (SELECT DISTINCT l_suppkey AS d, l_partkey AS a FROM lineitem WHERE l_partkey < 200), comm AS (SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS x, greatest(a.l_suppkey, b.l_suppkey) AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_orderkey % 10 = 0)"
+_TOUCH = "touch AS (SELECT DISTINCT l_suppkey AS d, l_partkey AS a FROM lineitem), comm AS (SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS x, greatest(a.l_suppkey, b.l_suppkey) AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey)"
 
 
-def _touch(t: Tables, part: str = "entity < 200") -> DataFrame:
-    """Who touches what; by default cut as in ``_TOUCH``."""
-    return t.dependencies.where(part).select(F.col("file").alias("dev"), F.col("entity").alias("artifact")).distinct()
+def _touch(t: Tables) -> DataFrame:
+    """Who touches what."""
+    return t.dependencies.select(F.col("file").alias("dev"), F.col("entity").alias("artifact")).distinct()
 
 
-def _communication(t: Tables, part: str = "commit_id % 10 = 0") -> DataFrame:
-    """Who shares a commit; by default cut as in ``_TOUCH``."""
+def _communication(t: Tables) -> DataFrame:
+    """Who shares a commit."""
     from ..operators.relational import project_bipartite
 
-    return project_bipartite(t.dependencies.where(part), "file", "commit_id").select(F.col("p1").alias("d1"), F.col("p2").alias("d2"))
+    return project_bipartite(t.dependencies, "file", "commit_id").select(F.col("p1").alias("d1"), F.col("p2").alias("d2"))
 
 
 @query("triangle_motifs", f"""
@@ -177,12 +178,12 @@ def triangle_motifs(t: Tables) -> DataFrame:
 
 
 @query("square_motifs", f"""
-WITH {_TOUCH}, dep AS (SELECT DISTINCT a.l_partkey AS a1, b.l_partkey AS a2 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_partkey < 200 AND b.l_partkey < 200),
+WITH {_TOUCH}, dep AS (SELECT DISTINCT a.l_partkey AS a1, b.l_partkey AS a2 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey),
 s AS (SELECT dep.a1, dep.a2, x.d AS d1, y.d AS d2 FROM dep JOIN touch x ON x.a = a1 JOIN touch y ON y.a = a2 WHERE x.d <> y.d AND NOT EXISTS (SELECT 1 FROM touch z WHERE z.d = x.d AND z.a = a2) AND NOT EXISTS (SELECT 1 FROM touch z WHERE z.d = y.d AND z.a = a1))
 SELECT a1, a2, count(*) FILTER (WHERE comm.x IS NOT NULL) AS motifs, count(*) FILTER (WHERE comm.x IS NULL) AS anti_motifs FROM s LEFT JOIN comm ON comm.x = least(d1, d2) AND comm.y = greatest(d1, d2) GROUP BY 1, 2""", (278,))
 def square_motifs(t: Tables) -> DataFrame:
     """Developers of two linked artifacts, each of one only, who communicate or don't."""
-    dep = N.co_changes(t.dependencies.where("entity < 200"), 1, most_entities=1000).select(F.col("e1").alias("a1"), F.col("e2").alias("a2"))
+    dep = N.co_changes(t.dependencies, 1, most_entities=1000).select(F.col("e1").alias("a1"), F.col("e2").alias("a2"))
     return M.squares(_touch(t), dep, _communication(t))
 
 
@@ -196,7 +197,7 @@ def socio_technical_graph(t: Tables) -> DataFrame:
 @query("motif_null_model", None, (258, 262, 279))
 def motif_null_model(t: Tables) -> DataFrame:
     """Triangle motifs of rewired graphs of all entities and commits (20 seeded draws), by draw."""
-    return M.null_model(_touch(t, "true"), _communication(t, "true"), 20)
+    return M.null_model(_touch(t), _communication(t), 20)
 
 
 @query("lag_variants", """

@@ -235,13 +235,13 @@ def code_owner(t: Tables) -> DataFrame:
 
 @query("issue_commit_join", """
 WITH c AS (SELECT o_orderkey AS id, 'fixes PRJ-' || CAST(o_custkey % 500 AS VARCHAR) || ' and more' AS message FROM orders), k AS (SELECT id, nullif(regexp_extract(message, '[A-Z]+-[0-9]+'), '') AS issue FROM c),
-i AS (SELECT 'PRJ-' || CAST(c_custkey AS VARCHAR) AS issue, c_mktsegment AS type FROM customer WHERE c_custkey < 400)
+i AS (SELECT 'PRJ-' || CAST(c_custkey AS VARCHAR) AS issue, c_mktsegment AS type FROM customer)
 SELECT id, k.issue, type, coalesce(type = 'BUILDING', false) AS is_bug FROM k LEFT JOIN i ON k.issue = i.issue""", (91, 188))
 def issue_commit_join(t: Tables) -> DataFrame:
     """Issues named in commit messages with their type."""
     c = t.commits.select("id", F.concat(F.lit("fixes PRJ-"), (F.col("author") % 500).cast("string"), F.lit(" and more")).alias("message"))
     k = c.select("id", F.nullif(F.regexp_extract("message", "[A-Z]+-[0-9]+", 0), F.lit("")).alias("issue"))
-    i = t.customer.where("c_custkey < 400").select(F.concat(F.lit("PRJ-"), F.col("c_custkey").cast("string")).alias("issue"), F.col("c_mktsegment").alias("type")).distinct()
+    i = t.customer.select(F.concat(F.lit("PRJ-"), F.col("c_custkey").cast("string")).alias("issue"), F.col("c_mktsegment").alias("type")).distinct()
     return k.join(i, "issue", "left").select("id", "issue", "type", F.coalesce(F.col("type") == "BUILDING", F.lit(False)).alias("is_bug"))
 
 

@@ -182,10 +182,10 @@ def artifact_ratios(t: Tables) -> DataFrame:
 
 
 @query("subsystem_similarity", """
-WITH f AS (SELECT user_id, event_type, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM events GROUP BY 1, 2), j AS (SELECT a.user_id AS a, b.user_id AS b, sum(a.p + b.p) / (2 * count(*)) AS s FROM f a JOIN f b ON a.event_type = b.event_type AND a.user_id < b.user_id WHERE a.user_id < 20 AND b.user_id < 20 GROUP BY 1, 2) SELECT a, b, round(s, 6) AS similarity FROM j""", (202, 203))
+WITH f AS (SELECT user_id % 50 AS team, event_type, count(*) / sum(count(*)) OVER (PARTITION BY user_id % 50) AS p FROM events GROUP BY 1, 2), j AS (SELECT a.team AS a, b.team AS b, sum(a.p + b.p) / (2 * count(*)) AS s FROM f a JOIN f b ON a.event_type = b.event_type AND a.team < b.team GROUP BY 1, 2) SELECT a, b, round(s, 6) AS similarity FROM j""", (202, 203))
 def subsystem_similarity(t: Tables) -> DataFrame:
-    """Similarity of authors by their subsystems (of the twenty first authors)."""
-    g = t.changes.where("author < 20").groupBy("author", "subsys").agg(F.count("*").alias("n"))
+    """Similarity of fifty teams, to which all authors are dealt by their numbers, by their subsystems."""
+    g = t.changes.groupBy((F.col("author") % 50).alias("author"), "subsys").agg(F.count("*").alias("n"))
     total = g.groupBy("author").agg(F.sum("n").alias("s"))
     m = g.join(total, "author").groupBy("author").agg(F.map_from_entries(F.collect_list(F.struct("subsys", (F.col("n") / F.col("s")).alias("p")))).alias("m"))
     j = m.select(F.col("author").alias("a"), F.col("m").alias("x")).join(m.select(F.col("author").alias("b"), F.col("m").alias("y"))).where("a < b")
@@ -344,12 +344,11 @@ def metrics_melt(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- identities and stored forms
 @query("person_identities", """
-WITH RECURSIVE a AS (SELECT c_custkey AS id, 'p' || c_custkey % 300 AS name, 'm' || c_custkey % 450 || '@x.org' AS email FROM customer WHERE c_custkey < 900), e AS (SELECT DISTINCT name AS u, email AS v FROM a UNION SELECT DISTINCT email, name FROM a),
+WITH RECURSIVE a AS (SELECT c_custkey AS id, 'p' || c_custkey % 300 AS name, 'm' || c_custkey % 450 || '@x.org' AS email FROM customer), e AS (SELECT DISTINCT name AS u, email AS v FROM a UNION SELECT DISTINCT email, name FROM a),
 r(u, v) AS (SELECT u, u FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), k AS (SELECT u, min(v) AS c FROM r GROUP BY 1), n AS (SELECT c, count(*) AS n FROM a JOIN k ON a.name = k.u GROUP BY c) SELECT id, n FROM a JOIN k ON a.name = k.u JOIN n ON n.c = k.c""", (213, 214, 215))
 def person_identities(t: Tables) -> DataFrame:
     """Aliases of the same person, counted."""
-    c = t.customer.where("c_custkey < 900")
-    a = c.select(F.col("c_custkey").alias("id"), F.lit(1).alias("project"), F.concat(F.lit("p"), (F.col("c_custkey") % 300).cast("string")).alias("name"), F.concat(F.lit("m"), (F.col("c_custkey") % 450).cast("string"), F.lit("@x.org")).alias("email"))
+    a = t.customer.select(F.col("c_custkey").alias("id"), F.lit(1).alias("project"), F.concat(F.lit("p"), (F.col("c_custkey") % 300).cast("string")).alias("name"), F.concat(F.lit("m"), (F.col("c_custkey") % 450).cast("string"), F.lit("@x.org")).alias("email"))
     r = I.resolve_persons(a)
     return r.join(r.groupBy("person").agg(F.count("*").alias("n")), "person").select("id", "n")
 
