@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, networks, relational, storage, texts, timeseries  # noqa: F401
+from . import graphs, measures, networks, relational, storage, texts, timeseries  # noqa: F401
 from .base import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -439,7 +439,7 @@ def cluster_summary(t: Tables) -> DataFrame:
     return g.select("cluster", "members", "rank_median", "commits_median", F.round("s", 2).alias("total"), F.round(F.col("n") / F.col("members"), 6).alias("commits_per_person"), F.round(F.col("s") / F.col("members"), 4).alias("size_per_person"))
 
 
-@query("weighted_edgelist", "SELECT s_nationkey AS from_id, l_linenumber AS to_id, count(*) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2", (118, 257))
+@query("weighted_edgelist", "SELECT s_nationkey AS from_id, l_linenumber AS to_id, count(*) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2", (118,))
 def weighted_edgelist(t: Tables) -> DataFrame:
     """Parallel edges as weights."""
     s = t.supplier.select(F.col("s_suppkey").alias("file"), F.col("s_nationkey").alias("from_id"))

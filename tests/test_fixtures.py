@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandwork.functions import columns as C
 from strandwork.operators import graph as G
-from strandwork.operators import identity, motifs, networks, relational, text
+from strandwork.operators import identity, measures, motifs, networks, relational, text
 from strandwork.operators import timeseries as T
 from strandwork.sources import parsers as P
 
@@ -316,3 +316,84 @@ def test_null_model_reads_all_entities_and_commits(spark, tmp_path):
     got = rows(REGISTRY.queries["motif_null_model"](spark, str(tmp_path)))
     # Entity 250 keeps its four developers, of whom three pairs share a commit.
     assert len(got) == 20 and all((m, a) == (6, 6) for _, m, a in got)
+
+
+# ---------------------------------------------------------------- further measures
+def star(spark, n):
+    return spark.createDataFrame([(0, k, 1) for k in range(1, n)], "from_id bigint, to_id bigint, weight bigint")
+
+
+def test_indices_of_a_star(spark):
+    m = G.per_component(star(spark, 7), G.path_measures, "vertex bigint, betweenness double, closeness double, eccentricity bigint, eigenvector double")
+    r = measures.component_indices(m).first()
+    assert (r["size"], r["diameter"]) == (7, 2) and r["mean_path"] == pytest.approx(12 / 7) and r["centralization_betweenness"] == pytest.approx(1) and r["centralization_closeness"] == pytest.approx(1)
+
+
+def test_least_cuts(spark):
+    import itertools
+    import random
+
+    r = random.Random(8)
+    for n in (2, 3, 5, 7):
+        edges = {(k, k + 1): r.randint(1, 9) for k in range(n - 1)} | {(a, b): r.randint(1, 9) for a in range(n) for b in range(a + 1, n) if r.random() < 0.5}
+        cut = lambda side, w: sum(w(e) for e in edges if (e[0] in side) != (e[1] in side))
+        sides = [s for k in range(1, n) for s in itertools.combinations(range(n), k)]
+        got = measures.cuts_of(pd.DataFrame([(a, b, float(w)) for (a, b), w in edges.items()], columns=["u", "v", "w"])).iloc[0]
+        assert (got["min_cut"], got["adhesion"]) == (min(cut(s, edges.get) for s in sides), min(cut(s, lambda _: 1) for s in sides))
+
+
+def test_power_law_of_a_sample(spark):
+    x = np.arange(1, 20_001)
+    p = x**-2.5 / (x**-2.5).sum()
+    drawn = np.random.default_rng(3).choice(x, 20_000, p=p)
+    values, counts = np.unique(drawn, return_counts=True)
+    xmin, alpha, n, d, _ = measures.fit_power_law(values, counts, 30)
+    assert abs(alpha - 2.5) < 0.1 and n >= 30 and d < 0.05
+    # The exponent is the best of a grid.
+    v, c = values[values >= xmin], counts[values >= xmin]
+    cost = lambda a: c.sum() * np.log(float(measures._zeta(a, v[0]))) + a * (c * np.log(v)).sum()
+    assert cost(alpha) <= min(cost(a) for a in np.arange(1.05, 6, 0.01)) + 1e-6
+    assert measures.fit_power_law(np.array([1, 2, 3]), np.array([5, 2, 1]), 30)[4] is None
+    few = measures.fit_power_law(np.array([1, 2, 9, 10, 11]), np.array([40, 20, 3, 2, 1]), 30)
+    assert few[0] <= 2 and few[2] >= 30
+
+
+def test_unit_edges_and_diversity(spark):
+    e = spark.createDataFrame([(1, 2, 3), (2, 1, 1), (1, 3, 4)], "from_id bigint, to_id bigint, weight bigint")
+    assert rows(measures.multi_edges(e)) == [(1, 2, 1), (1, 2, 2), (1, 2, 3), (1, 3, 1), (1, 3, 2), (1, 3, 3), (1, 3, 4), (2, 1, 1)]
+    assert rows(measures.diversity(e).withColumn("diversity", F.round("diversity", 9))) == [(1, 2, 1.0), (2, 1, 0.0), (3, 1, 0.0)]
+
+
+def test_clusters_of_blocks_by_distance(spark):
+    import random
+
+    def plain(blocks, reach):
+        gap = lambda a, b: (a[0] - b[1] if a[0] > b[1] else b[0] - a[1]) - 1
+        groups = []
+        for b in blocks:
+            if b[2]:
+                if groups and gap(groups[-1][0], b) <= reach:
+                    groups[-1].append(b)
+                else:
+                    groups.append([b])
+        out = {(b[0], b[1], True, k + 1) for k, g in enumerate(groups) for b in g}
+        at = 0
+        for b in blocks:
+            if not b[2]:
+                near = [min(gap(g[0], b), gap(g[-1], b)) for g in groups[at : at + 2]]
+                at += len(near) > 1 and near[1] < near[0]
+                out.add((b[0], b[1], False, at + 1))
+        return out if groups else set()
+
+    r = random.Random(6)
+    data, want = [], set()
+    for f in range(40):
+        at, blocks = 1, []
+        for _ in range(r.randint(1, 14)):
+            end = at + r.randint(0, 5)
+            blocks.append((at, end, r.random() < 0.4))
+            at = end + 1
+        data += [(f, *b) for b in blocks]
+        want |= {(f, *x) for x in plain(blocks, 8)}
+    b = spark.createDataFrame(data, "file int, first_line bigint, last_line bigint, mine boolean")
+    assert set(rows(measures.block_clusters(b, ["file"], F.col("mine"), 8))) == want and want
