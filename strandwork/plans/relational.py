@@ -485,10 +485,10 @@ def subsystem_fractions(t: Tables) -> DataFrame:
     return g.select("person", "subsystem", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("person")), 6).alias("fraction"))
 
 
-@query("thread_statistics", "SELECT conv_id AS thread, count(DISTINCT role) AS n_authors, count(*) AS n_messages, arg_min(left(text, 20), turn) AS subject, min(turn) AS first FROM conversations GROUP BY 1", (125,))
+@query("thread_statistics", "SELECT conv_id AS thread, count(DISTINCT role) AS n_authors, count(*) AS n_messages, arg_min(string_split(text, chr(10))[1], turn) AS subject, min(turn) AS first FROM conversations GROUP BY 1", (125,))
 def thread_statistics(t: Tables) -> DataFrame:
     """Authors, messages and first subject of each thread."""
-    return t.turns.groupBy("thread").agg(F.countDistinct("author").alias("n_authors"), F.count("*").alias("n_messages"), F.min_by(F.substring("text", 1, 20), "number").alias("subject"), F.min("number").alias("first"))
+    return t.turns.groupBy("thread").agg(F.countDistinct("author").alias("n_authors"), F.count("*").alias("n_messages"), F.min_by(F.split("text", "\n")[0], "number").alias("subject"), F.min("number").alias("first"))
 
 
 @query("authors_per_cycle", f"WITH {_COMMITS} SELECT cycle, count(DISTINCT author) AS n FROM c GROUP BY cycle", (126,))
@@ -594,10 +594,10 @@ def min_max_per_type(t: Tables) -> DataFrame:
     return t.changes.groupBy(F.col("subsys").alias("type")).agg(F.min("diff_size").alias("low"), F.max("diff_size").alias("high"))
 
 
-@query("frequent_subjects", "SELECT left(text, 12) AS subject, count(*) AS n FROM conversations GROUP BY 1 ORDER BY n DESC, subject LIMIT 200", (137, 159))
+@query("frequent_subjects", "SELECT string_split(text, chr(10))[1] AS subject, count(*) AS n FROM conversations GROUP BY 1 ORDER BY n DESC, subject LIMIT 200", (137, 159))
 def frequent_subjects(t: Tables) -> DataFrame:
     """The 200 most frequent subjects."""
-    return R.top(t.turns.groupBy(F.substring("text", 1, 12).alias("subject")).agg(F.count("*").alias("n")), 200, [F.desc("n"), F.col("subject")])
+    return R.top(t.turns.groupBy(F.split("text", "\n")[0].alias("subject")).agg(F.count("*").alias("n")), 200, [F.desc("n"), F.col("subject")])
 
 
 @query("initiate_response_summary", """

@@ -31,10 +31,10 @@ def frequent_terms(t: Tables) -> DataFrame:
     return X.frequent_terms(X.term_counts(t.documents, "doc_id", "text", 3))
 
 
-@query("subject_cloud", "WITH s AS (SELECT left(text, 40) AS subject FROM conversations), w AS (SELECT unnest(list_filter(string_split_regex(trim(regexp_replace(lower(subject), '\\[[^\\]]*\\]|[^a-z\\s]', ' ', 'g')), '\\s+'), lambda x: x <> '' AND x NOT IN ('the', 'de', 'patch', 're'))) AS term, subject FROM s), d AS (SELECT DISTINCT subject, term FROM w), k AS (SELECT subject, count(*) AS n FROM s GROUP BY 1), g AS (SELECT term, sum(n)::BIGINT AS n FROM d JOIN k ON d.subject = k.subject GROUP BY term) SELECT term, n, round(10 + 30 * power(5, log10(n / max(n) OVER ())), 4) AS size FROM g", (136, 209, 288))
+@query("subject_cloud", "WITH s AS (SELECT text AS subject FROM conversations), w AS (SELECT unnest(list_filter(string_split_regex(trim(regexp_replace(lower(subject), '\\[[^\\]]*\\]|[^a-z\\s]', ' ', 'g')), '\\s+'), lambda x: x <> '' AND x NOT IN ('the', 'de', 'patch', 're'))) AS term, subject FROM s), d AS (SELECT DISTINCT subject, term FROM w), k AS (SELECT subject, count(*) AS n FROM s GROUP BY 1), g AS (SELECT term, sum(n)::BIGINT AS n FROM d JOIN k ON d.subject = k.subject GROUP BY term) SELECT term, n, round(10 + 30 * power(5, log10(n / max(n) OVER ())), 4) AS size FROM g", (136, 209, 288))
 def subject_cloud(t: Tables) -> DataFrame:
     """Words of subjects weighted by their messages, with font sizes."""
-    k = t.turns.groupBy(F.substring("text", 1, 40).alias("subject")).agg(F.count("*").alias("k"))
+    k = t.turns.groupBy(F.col("text").alias("subject")).agg(F.count("*").alias("k"))
     g = k.select("k", F.explode(F.array_distinct(C.subject_tokens(F.col("subject"), ("the", "de")))).alias("term")).groupBy("term").agg(F.sum("k").alias("n"))
     top = g.agg(F.max("n").alias("top"))
     return g.join(F.broadcast(top)).select("term", "n", F.round(C.font_size(F.col("n"), F.col("top")), 4).alias("size"))
