@@ -9,7 +9,8 @@ Keys with few nodes give all their pairs.  Keys with many give, first, the pairs
 of each node with one central node; once those are verified and joined into
 components, only pairs of nodes of *different* components are left to compare, and
 of those the ones that sizes, positions and signatures allow, so a group of near
-copies costs about its size.  Every pair that could link is
+copies costs about its size.  What is left to compare is dealt out in pairs of
+blocks of ``BLOCK`` nodes, so that no key is one task.  Every pair that could link is
 either verified or already connected: the components are those of all links.
 """
 
@@ -20,10 +21,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import SIGNATURE, bounded, components, discard, materialize
 
 #: Keys held by more nodes than this go by way of a central node.
 LIGHT = 16
+#: Nodes of a key that one task compares with as many others.
+BLOCK = 256
 
 
 def can_reach(percent: int, na: str, nb: str, pa: str, pb: str) -> Column:
@@ -51,39 +55,65 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.where(100 * F.col("o") >= percent * (F.size("ta") + F.size("tb") - F.col("o"))).select("u", "v")
 
 
-def link_components(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, light: int = LIGHT) -> DataFrame:
+def counted(postings: DataFrame, held: DataFrame, light: int) -> DataFrame:
+    """The postings whose key is in ``held`` (key, c), with c.
+
+    Within the bound of broadcasts, rows of keys with more than ``light`` nodes get it there and are dealt
+    out by themselves, so that none of those keys is one task; beyond it Spark splits the join.
+    """
+    crowded = held.where(F.col("c") > light)
+    if crowded.count() > common.MOST_BROADCAST:
+        return postings.join(held, "key")
+    known = postings.join(F.broadcast(crowded.withColumnRenamed("c", "_c")), "key", "left")
+    by = F.when(F.col("_c").isNull(), F.col("key")).otherwise(F.xxhash64("key", "node"))
+    both = known.withColumn("_by", by).join(held.where(F.col("c") <= light).withColumnRenamed("key", "_by"), "_by", "left")
+    return both.withColumn("c", F.coalesce("_c", "c")).where("c IS NOT NULL").drop("_c", "_by")
+
+
+def blocked_pairs(rows: DataFrame, own: tuple[str, ...], block: int = BLOCK) -> DataFrame:
+    """Pairs of ``rows`` (key, c, node, ...) of one key, each once, as columns x_a and x_b of ``own``.
+
+    A key's rows are dealt to c / ``block`` blocks by node, and each pair of blocks is a key of its own:
+    however many nodes a key has, a task compares no more than ``block`` with as many.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.col("c") / block)).cast("int")
+    dealt = rows.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    low = dealt.select("key", F.col("_b").alias("_x"), F.explode(F.expr("sequence(_b, _n - 1)")).alias("_y"), *[F.col(x).alias(f"{x}_a") for x in own])
+    high = dealt.select("key", F.explode(F.expr("sequence(0, _b)")).alias("_x"), F.col("_b").alias("_y"), *[F.col(x).alias(f"{x}_b") for x in own])
+    return low.join(high, ["key", "_x", "_y"]).where("_x < _y OR node_a < node_b")
+
+
+def link_components(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, light: int = LIGHT, block: int = BLOCK) -> DataFrame:
     """A table (node, comp) of the nodes that link with another node; ``sets_of(nodes)`` gives (node, toks, sig) for a table of nodes."""
     held = materialize(postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))  # by itself: its shuffle is gone before the next
-    p = materialize(postings.join(held, "key"))
+    p = materialize(counted(postings, held, light))
     discard(held)
-    a = p.select("key", "c", *[F.col(x).alias(f"{x}_a") for x in ("node", "n", "pos")])
-    b = p.select("key", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "pos")])
+    few, heavy = p.where(F.col("c") <= light), p.where(F.col("c") > light)
+    own = ("node", "n", "pos")
+    a = few.select("key", *[F.col(x).alias(f"{x}_a") for x in own])
+    b = few.select("key", *[F.col(x).alias(f"{x}_b") for x in own])
     ok = can_reach(percent, "n_a", "n_b", "pos_a", "pos_b")
-    few = a.where(F.col("c") <= light).join(b, "key").where(F.col("node_a") < F.col("node_b")).where(ok)
-    centre = p.where(F.col("c") > light).groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("x")).select("key", F.col("x.node").alias("node_b"), F.col("x.n").alias("n_b"), F.col("x.pos").alias("pos_b"))
-    star = a.where(F.col("c") > light).join(centre, "key").where("node_a <> node_b").where(ok)
+    met = a.join(b, "key").where(F.col("node_a") < F.col("node_b")).where(ok)
+    centre = materialize(heavy.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("x")).select("key", F.col("x.node").alias("node_b"), F.col("x.n").alias("n_b"), F.col("x.pos").alias("pos_b")))
+    star = heavy.select("key", *[F.col(x).alias(f"{x}_a") for x in own]).join(bounded(centre), "key").where("node_a <> node_b").where(ok)
     ends = lambda d: d.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v"))
-    first = materialize(ends(few).union(ends(star)).distinct())
-    heavy = p.where(F.col("c") > light)
+    first = materialize(ends(met).union(ends(star)).distinct())
     nodes = materialize(first.select(F.col("u").alias("node")).union(first.select("v")).union(heavy.select("node")).distinct())
     sets = materialize(sets_of(nodes))
     links = materialize(verified(first, sets, percent))
-    discard(first, nodes)
+    discard(first, nodes, centre)
     comps = materialize(components(links))
     if not heavy.isEmpty():
-        h = heavy.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = h.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        h = materialize(heavy.join(bounded(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        mixed = materialize(h.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"))
         bits = [F.col("sig")[k].alias(f"s{k}") for k in range(SIGNATURE)]
-        h = materialize(h.join(mixed, "key").select("key", "node", "n", "pos", "comp").join(sets.select("node", *bits), "node"))
-        own = ("node", "n", "pos", "comp", *[f"s{k}" for k in range(SIGNATURE)])
-        a = h.select("key", *[F.col(x).alias(f"{x}_a") for x in own])
-        b = h.select("key", *[F.col(x).alias(f"{x}_b") for x in own])
-        rest = ends(a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & ok & can_agree(percent))).distinct()
-        rest = materialize(rest)
+        h = h.join(bounded(mixed), "key").select("key", "c", "node", "n", "pos", "comp").join(sets.select("node", *bits), "node")
+        rest = blocked_pairs(h, ("node", "n", "pos", "comp", *[f"s{k}" for k in range(SIGNATURE)]), block)
+        rest = materialize(ends(rest.where((F.col("comp_a") != F.col("comp_b")) & ok & can_agree(percent))).distinct())
         more = materialize(verified(rest, sets, percent))
         if not more.isEmpty():
             before, comps = comps, materialize(components(links.union(more)))
             discard(before)
-        discard(h, rest, more)
+        discard(mixed, rest, more)
     discard(p, sets, links)
     return comps

@@ -51,8 +51,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("op6_substring_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long paragraphs that documents repeat, with their clusters."""
-    return substrings.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+    """Long passages that documents repeat, with their clusters."""
+    return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
 @REGISTRY.query("op7_bpe")
