@@ -140,6 +140,36 @@ def evaluate_rules(queries: DataFrame, rules: DataFrame) -> DataFrame:
     return j.select("commit_id", "query", F.size("found").cast("bigint").alias("n_found"), F.try_divide(hits, F.size("found")).alias("precision"), F.try_divide(hits, F.size("expected")).alias("recall"))
 
 
+def _reached(changes: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items of commits with 2 to 20 entities (commit_id, entity), and what rules on them name: (commit_id, entity, by, only, inside)."""
+    k = changes.select("commit_id", "entity").distinct()
+    sizes = k.groupBy("commit_id").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 20").select("commit_id")
+    k = k.join(sizes, "commit_id")
+    named = k.join(rules.select(F.col("e1").alias("entity"), "e2"), "entity").groupBy("commit_id", F.col("e2").alias("entity")).agg(F.count("*").alias("by"), F.min("entity").alias("only"))
+    return k, named.join(k.withColumn("inside", F.lit(True)), ["commit_id", "entity"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
+def evaluate_prevention(changes: DataFrame, rules: DataFrame) -> DataFrame:
+    """For each entity of a commit, whether rules on the other ones name it: (commit_id, missing, n_found, precision, recall).
+
+    What is found without an entity is all that is named from the commit, but for what that entity alone names.
+    """
+    k, r = _reached(changes, rules)
+    outside = r.where("NOT inside").groupBy("commit_id").agg(F.count("*").alias("all"))
+    alone = r.where("NOT inside AND by = 1").groupBy("commit_id", F.col("only").alias("entity")).agg(F.count("*").alias("alone"))
+    hit = r.where("inside").select("commit_id", "entity", F.lit(1).alias("hit"))
+    j = k.join(outside, "commit_id", "left").join(alone, ["commit_id", "entity"], "left").join(hit, ["commit_id", "entity"], "left").na.fill(0, ["all", "alone", "hit"])
+    found = F.col("all") - F.col("alone") + F.col("hit")
+    return j.select("commit_id", F.col("entity").alias("missing"), found.alias("n_found"), F.try_divide(F.col("hit").cast("double"), found).alias("precision"), F.col("hit").cast("double").alias("recall"))
+
+
+def evaluate_closure(changes: DataFrame, rules: DataFrame) -> DataFrame:
+    """For each whole commit, of which nothing is missing, what rules name besides: (commit_id, n_found, correct)."""
+    k, r = _reached(changes, rules)
+    found = r.where("NOT inside").groupBy("commit_id").agg(F.count("*").alias("n_found"))
+    return k.select("commit_id").distinct().join(found, "commit_id", "left").select("commit_id", F.coalesce("n_found", F.lit(0)).alias("n_found"), F.col("n_found").isNull().alias("correct"))
+
+
 def random_blocks(blocks: DataFrame, keys: list[str], length: str, seed: int = 448) -> DataFrame:
     """A control with the same blocks placed at random in a file of ``length`` lines: first_line and last_line by a seeded hash.
 

@@ -131,3 +131,14 @@ def clip_outliers(df: DataFrame, value: str, quantile: float = 0.995) -> DataFra
     """Values above the quantile (linear interpolation) become null."""
     limit = df.agg(F.percentile(value, F.lit(quantile)).alias("_limit"))
     return df.join(F.broadcast(limit)).withColumn(value, F.when(F.col(value) <= F.col("_limit"), F.col(value))).drop("_limit")
+
+
+def sub_range(history: DataFrame, after: int, to: int) -> DataFrame:
+    """The rows of a history (id, commit_date, ...) after the commit ``after`` up to and with ``to``, by date, then id; none if one is unknown.
+
+    Two rows are looked up and their places are compared; the history itself is neither numbered nor sorted.
+    """
+    end = lambda i, name: history.where(F.col("id") == i).select(F.struct("commit_date", "id").alias(name)).limit(1)
+    ends = F.broadcast(end(after, "_after").crossJoin(end(to, "_to")))
+    place = F.struct("commit_date", "id")
+    return history.join(ends).where((place > F.col("_after")) & (place <= F.col("_to"))).drop("_after", "_to")

@@ -141,6 +141,30 @@ def rule_evaluation(t: Tables) -> DataFrame:
     return e.select("commit_id", "query", "n_found", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
+_TEST = "q AS (SELECT DISTINCT c, e FROM (SELECT l_orderkey AS c, l_suppkey % 40 AS e FROM lineitem WHERE l_orderkey % 2 = 1) WHERE c IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey % 40) BETWEEN 2 AND 20))"
+
+
+def _halves(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return _items(t).where("commit_id % 2 = 1"), N.association_rules(_items(t).where("commit_id % 2 = 0"), 2, 0.1)
+
+
+@query("rule_prevention", f"""
+WITH {_RULES.format('l_orderkey % 2 = 0')}, {_TEST}, f AS (SELECT DISTINCT q.c, q.e, r.e2 FROM q JOIN q x ON x.c = q.c AND x.e <> q.e JOIN r ON r.e1 = x.e),
+g AS (SELECT f.c, f.e, count(*) AS n, count(*) FILTER (WHERE f.e2 = f.e) AS hit FROM f LEFT JOIN q y ON y.c = f.c AND y.e = f.e2 AND y.e <> f.e WHERE y.c IS NULL GROUP BY 1, 2)
+SELECT q.c AS commit_id, q.e AS missing, coalesce(n, 0) AS n_found, round(hit / n, 6) AS precision, coalesce(hit, 0)::DOUBLE AS recall FROM q LEFT JOIN g ON g.c = q.c AND g.e = q.e""", (236,))
+def rule_prevention(t: Tables) -> DataFrame:
+    """Whether rules of one half of the history name an entity that is left out of a commit of the other."""
+    return N.evaluate_prevention(*_halves(t)).withColumn("precision", F.round("precision", 6))
+
+
+@query("rule_closure", f"""
+WITH {_RULES.format('l_orderkey % 2 = 0')}, {_TEST}, g AS (SELECT q.c, count(DISTINCT r.e2) AS n FROM q JOIN r ON r.e1 = q.e LEFT JOIN q y ON y.c = q.c AND y.e = r.e2 WHERE y.c IS NULL GROUP BY 1)
+SELECT k.c AS commit_id, coalesce(n, 0) AS n_found, n IS NULL AS correct FROM (SELECT DISTINCT c FROM q) k LEFT JOIN g ON g.c = k.c""", (236,))
+def rule_closure(t: Tables) -> DataFrame:
+    """What rules of one half of the history name besides whole commits of the other."""
+    return N.evaluate_closure(*_halves(t))
+
+
 @query("rule_summary", f"""
 WITH {_RULES.format('l_orderkey % 2 = 0')}, q AS (SELECT DISTINCT l_orderkey AS c, l_suppkey % 40 AS e FROM lineitem WHERE l_orderkey % 2 = 1), n AS (SELECT c, count(*) AS n FROM q GROUP BY c HAVING count(*) BETWEEN 2 AND 20),
 f AS (SELECT e1, count(*) AS found FROM r GROUP BY e1), h AS (SELECT q.c, q.e, count(*) AS hits FROM q JOIN r ON r.e1 = q.e JOIN q z ON z.c = q.c AND z.e = r.e2 GROUP BY 1, 2)

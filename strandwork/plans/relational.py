@@ -128,6 +128,17 @@ def ordered_hashes(t: Tables) -> DataFrame:
     return t.commits.where("status = 'P'").select("id", "commit_date").orderBy("commit_date", "id")
 
 
+@query("history_range", "WITH a AS (SELECT o_orderdate AS d, o_orderkey AS i FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01' ORDER BY 1, 2 LIMIT 1), b AS (SELECT o_orderdate AS d, o_orderkey AS i FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' ORDER BY 1 DESC, 2 DESC LIMIT 1) SELECT o_orderkey AS id, o_custkey AS author FROM orders, a, b WHERE (o_orderdate > a.d OR o_orderdate = a.d AND o_orderkey > a.i) AND (o_orderdate < b.d OR o_orderdate = b.d AND o_orderkey <= b.i)", (26,))
+def history_range(t: Tables) -> DataFrame:
+    """Commits of a cached history between two of them."""
+    c = t.commits.select("id", "author", "commit_date")
+    place = F.struct("commit_date", "id")
+    first = F.min(F.when(F.expr("commit_date >= timestamp_ntz '1994-01-01'"), place))
+    last = F.max(F.when(F.expr("commit_date < timestamp_ntz '1997-01-01'"), place))
+    ends = c.agg(first["id"].alias("a"), last["id"].alias("b")).first()
+    return R.sub_range(c, ends["a"], ends["b"]).select("id", "author")
+
+
 @query("cluster_lookup", f"WITH {_MEMBERS} SELECT DISTINCT cluster, technique FROM m WHERE cluster > 0 AND technique LIKE '%E%'", (49, 63, 70))
 def cluster_lookup(t: Tables) -> DataFrame:
     """Clusters of techniques that match a pattern, without the global one (0)."""

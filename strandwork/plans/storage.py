@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -62,6 +62,18 @@ def cached_history(t: Tables) -> DataFrame:
     return G.written(t.commits.select("id", "author")).groupBy("author").agg(F.count("*").alias("n"))
 
 
+_LISTS = "w AS (SELECT DISTINCT o_orderpriority AS project, CAST(date_trunc('quarter', o_orderdate) AS TIMESTAMP) AS q FROM orders), c AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY q) AS number, strftime(q, '%Y-%m') AS tag FROM w), o AS (SELECT project, number, CASE WHEN project = '5-LOW' AND number = 3 THEN 'old' ELSE tag END AS tag FROM c WHERE tag < '1997')"
+
+
+@query("timeline_changes", f"WITH {_LISTS}, p AS (SELECT c.project, bool_or(o.tag <> c.tag) AS changed FROM c JOIN o ON o.project = c.project AND o.number = c.number GROUP BY 1) SELECT c.project, CASE WHEN changed THEN 'recreate' ELSE 'append' END AS action, CAST(c.number AS INT) AS number, c.tag FROM c JOIN p ON p.project = c.project LEFT JOIN o ON o.project = c.project AND o.number = c.number WHERE changed OR o.tag IS NULL", (31,))
+def timeline_changes(t: Tables) -> DataFrame:
+    """What changed lists of revisions ask for: of each priority's cycles, those until 1996 are stored, of one with another tag."""
+    w = Window.partitionBy("project").orderBy("cycle")
+    c = t.commits.select(F.col("priority").alias("project"), "cycle").distinct().select("project", F.row_number().over(w).alias("number"), F.date_format("cycle", "yyyy-MM").alias("tag"))
+    old = F.when((F.col("project") == "5-LOW") & (F.col("number") == 3), "old").otherwise(F.col("tag"))
+    return S.timeline_changes(c.where("tag < '1997'").withColumn("tag", old), c)
+
+
 @query("timeline_dates", "SELECT CAST(n_nationkey AS BIGINT) AS tag, coalesce((SELECT max(o_orderdate) FROM orders WHERE o_custkey % 20 = n_nationkey), TIMESTAMP '1990-01-01') AS date FROM nation", (31, 32))
 def timeline_dates(t: Tables) -> DataFrame:
     """Dates of tags from their commits; tags without any keep theirs."""

@@ -49,6 +49,15 @@ def timeline_change(stored: list[str], configured: list[str]) -> tuple[str, list
     return "recreate", list(configured)
 
 
+def timeline_changes(stored: DataFrame, configured: DataFrame) -> DataFrame:
+    """As ``timeline_change`` for the lists (project, number, tag) of many projects: (project, action, number, tag) of the revisions to write."""
+    old = stored.select("project", "number", F.col("tag").alias("old"))
+    j = configured.select("project", "number", "tag").join(old, ["project", "number"], "full")
+    per = j.groupBy("project").agg(F.max(F.col("old").isNotNull() & ~F.col("old").eqNullSafe(F.col("tag"))).alias("changed"))
+    new = j.join(per, "project").where("tag IS NOT NULL AND (changed OR old IS NULL)")
+    return new.select("project", F.when(F.col("changed"), "recreate").otherwise("append").alias("action"), "number", "tag")
+
+
 def with_dates(timeline: DataFrame, commits: DataFrame) -> DataFrame:
     """The timeline with dates of its tags' commits where they are known (rows are rewritten, not updated)."""
     d = commits.groupBy("tag").agg(F.max("commit_date").alias("_d"))

@@ -397,3 +397,17 @@ def test_clusters_of_blocks_by_distance(spark):
         want |= {(f, *x) for x in plain(blocks, 8)}
     b = spark.createDataFrame(data, "file int, first_line bigint, last_line bigint, mine boolean")
     assert set(rows(measures.block_clusters(b, ["file"], F.col("mine"), 8))) == want and want
+
+
+def test_prevention_and_closure(spark):
+    k = spark.createDataFrame([(1, e) for e in (2, 5, 3)] + [(2, 7), (2, 8), (3, 2)], "commit_id int, entity bigint")
+    r = spark.createDataFrame([(2, 3), (5, 9)], "e1 bigint, e2 bigint")
+    got = {(x["commit_id"], x["missing"]): (x["n_found"], x["precision"], x["recall"]) for x in networks.evaluate_prevention(k, r).collect()}
+    assert got == {(1, 2): (1, 0, 0), (1, 5): (0, None, 0), (1, 3): (2, 0.5, 1), (2, 7): (0, None, 0), (2, 8): (0, None, 0)}
+    assert rows(networks.evaluate_closure(k, r)) == [(1, 1, False), (2, 0, True)]
+
+
+def test_history_between_two_commits(spark):
+    h = spark.sql("SELECT * FROM VALUES (1, timestamp_ntz '2020-01-01'), (2, timestamp_ntz '2020-01-02'), (3, timestamp_ntz '2020-01-02'), (4, timestamp_ntz '2020-01-03') AS v(id, commit_date)")
+    assert [r["id"] for r in relational.sub_range(h, 2, 4).orderBy("id").collect()] == [3, 4]
+    assert relational.sub_range(h, 4, 2).count() == 0 == relational.sub_range(h, 2, 99).count()
