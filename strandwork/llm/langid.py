@@ -8,8 +8,9 @@ gives the language, its cosine the score.  A text farther from every centroid th
 the limit of the nearest one's language is rejected by ``identify``'s ``rejected``.
 
 The model is fitted on a bounded sample of labelled rows: at most about
-``FIT_ROWS`` in all, shared evenly by the (at most ``MOST_LANGUAGES`` most
-frequent) labels, drawn by a hash of doc_id.  Everything else covers all rows.
+``FIT_ROWS`` in all, shared evenly by the labels, drawn by a hash of doc_id.  Everything
+else covers all rows.  The limit of a language is ``REJECT`` of the cosine that all but
+``QUANTILE`` of its training texts reach.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and
 rejected; without any labelled row all texts are; ties go to the first language
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import numbered, plain, ship
 
 DIMS = 4096
-FIT_ROWS, MOST_LANGUAGES, CENTROIDS = 2400, 100, 4
-#: A text is rejected below this part of the least cosine that its language's training texts have.
-REJECT = 0.3
+FIT_ROWS, CENTROIDS = 2400, 4
+#: A text is rejected below this part of a low quantile of the cosines that its language's training texts have.
+REJECT, QUANTILE = 0.6, 0.01
 #: Characters that are counted at a time, to bound the memory of very long texts.
 CHUNK = 1 << 20
 UNKNOWN = "und"
@@ -85,7 +86,7 @@ class Model:
                 c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
             found.append(c)
             owner += [k] * len(c)
-            limits.append(REJECT * float((own @ c.T).max(1).min()))
+            limits.append(REJECT * float(np.quantile((own @ c.T).max(1), QUANTILE)))
         self.centroids = np.vstack(found).astype(np.float32)
         self.owner, self.limits = np.array(owner), np.array(limits)
 
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model from the labelled rows of ``docs`` (doc_id, text, lang) that are not held out."""
     ship(docs.sparkSession)
     known = plain(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = F.lit(False)
     for r in sizes:

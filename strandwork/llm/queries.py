@@ -69,9 +69,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted language of every document."""
+    """Predicted language of every document, and whether it is rejected."""
     docs = _table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(docs, langid.fit(docs))
 
 
 #: Of page_id, as the pages have neither fetch times nor lists: a page is fetched page_id mod 365 days and mod 24 hours
