@@ -76,7 +76,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Of page_id, as the pages have neither fetch times nor lists: a page is fetched page_id mod 365 days and mod 24 hours
 #: after the start of 2024; each host of the pages is listed by its least page_id m, from day m mod 97 on, as a whole
-#: or (m mod 5 = 0) by its first path, and (m mod 3 = 0) taken off the list 60 + m mod 101 days later.
+#: or (m mod 5 = 0 or 1) by its first one or two path steps, and (m mod 3 = 0) taken off the list 60 + m mod 101 days later.
 def _captures(pages: DataFrame) -> DataFrame:
     at = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(page_id % 365 AS int), cast(page_id % 24 AS int))")
     return pages.select("page_id", "url", at.alias("fetched_at"))
@@ -84,10 +84,10 @@ def _captures(pages: DataFrame) -> DataFrame:
 
 def _changes(pages: DataFrame) -> DataFrame:
     host = F.expr("lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1))")
-    step = F.expr("lower(regexp_extract(url, '^[^:]*://[^/?#]*/([^/?#]+)', 1))")
-    hosts = pages.select(host.alias("host"), step.alias("step"), "page_id").where("host <> ''").groupBy("host").agg(F.min(F.struct("page_id", "step")).alias("x"))
-    m = hosts.select("host", F.col("x.page_id").alias("m"), F.col("x.step").alias("step"))
-    entry = F.expr("CASE WHEN m % 5 = 0 AND step <> '' THEN concat(host, '/', step) ELSE host END")
+    steps = F.expr("array_remove(split(lower(regexp_extract(url, '^[^:]*://[^/?#]*(/[^?#]*)', 1)), '/'), '')")
+    hosts = pages.select(host.alias("host"), steps.alias("steps"), "page_id").where("host <> ''").groupBy("host").agg(F.min(F.struct("page_id", "steps")).alias("x"))
+    m = hosts.select("host", F.col("x.page_id").alias("m"), F.col("x.steps").alias("steps"))
+    entry = F.expr("CASE WHEN m % 5 <= 1 AND size(steps) > 0 THEN concat(host, '/', concat_ws('/', slice(steps, 1, cast(m % 5 + 1 AS int)))) ELSE host END")
     day = "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast({} AS int))"
     category = F.expr("element_at(array('spam', 'malware', 'adult', 'piracy'), cast(m % 4 AS int) + 1)")
     add = m.select(entry.alias("entry"), category.alias("category"), F.lit("add").alias("action"), F.expr(day.format("m % 97")).alias("listed_at"))
@@ -99,17 +99,18 @@ OP10_SQL = r"""
 WITH p AS (
   SELECT page_id, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 365 AS INT)) + to_hours(page_id % 24) AS fetched_at,
          lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)) AS host,
-         lower(regexp_extract(url, '^[^:]*://[^/?#]*/([^/?#]+)', 1)) AS step FROM pages),
-m AS (SELECT host, min(page_id) AS m, arg_min(step, page_id) AS step FROM p WHERE host <> '' GROUP BY host),
+         list_filter(string_split(lower(regexp_extract(url, '^[^:]*://[^/?#]*(/[^?#]*)', 1)), '/'), x -> x <> '') AS steps FROM pages),
+m AS (SELECT host, min(page_id) AS m, arg_min(steps, page_id) AS steps FROM p WHERE host <> '' GROUP BY host),
 e AS (
-  SELECT CASE WHEN m % 5 = 0 AND step <> '' THEN host || '/' || step ELSE host END AS entry,
+  SELECT CASE WHEN m % 5 <= 1 AND len(steps) > 0 THEN host || '/' || array_to_string(list_slice(steps, 1, m % 5 + 1), '/') ELSE host END AS entry,
          ['spam', 'malware', 'adult', 'piracy'][CAST(m % 4 AS INT) + 1] AS category,
          TIMESTAMP '2024-01-01' + to_days(CAST(m % 97 AS INT)) AS valid_from,
          CASE WHEN m % 3 = 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(m % 97 + 60 + m % 101 AS INT)) END AS valid_until FROM m),
 t AS (
   SELECT page_id, fetched_at, array_to_string(list_slice(string_split(host, '.'), i, 99), '.') AS entry
   FROM (SELECT page_id, fetched_at, host, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p WHERE host <> '')
-  UNION SELECT page_id, fetched_at, host || '/' || step FROM p WHERE host <> '' AND step <> ''),
+  UNION SELECT page_id, fetched_at, host || '/' || array_to_string(list_slice(steps, 1, i), '/')
+  FROM (SELECT page_id, fetched_at, host, steps, unnest(range(1, len(steps) + 1)) AS i FROM p WHERE host <> '')),
 h AS (
   SELECT page_id, e.*, row_number() OVER (PARTITION BY page_id ORDER BY length(e.entry) DESC, e.entry DESC) AS k
   FROM t JOIN e ON t.entry = e.entry AND fetched_at >= valid_from AND (valid_until IS NULL OR fetched_at < valid_until))
