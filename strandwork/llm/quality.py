@@ -1,15 +1,16 @@
 """Quality rules, line first: lines are cleaned by rules of their own, then whole texts judged by what is left.
 
 A line fails if it is navigation (mostly separators, or a short run of links or
-menu words), boilerplate (a phrase of ``BOILERPLATE``), shouting (mostly capitals),
+menu words), boilerplate (a phrase of ``BOILERPLATE`` in a line of at most ``FRAME_WORDS`` words), shouting (mostly capitals),
 symbol noise, or prose whose sentences don't end; a repeat of an earlier line
 fails too.  A document is rejected when failed lines hold more than ``MAX_LOST``
 percent of its word characters, or by the base rules (too few words, too many words
-in repeated 8-word windows).
+in repeated 8-word windows).  ``assess`` gives the verdicts, ``clean`` the texts that are left.
 
 Defined cases: null and empty texts have no words and fail by length; lines
 without words neither fail nor count; rows that repeat are judged each by itself; an empty
-table gives no rows; further columns, clashing names included, are ignored.
+table gives no rows; further columns, clashing names included, are ignored by
+``assess`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -21,15 +22,22 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import mix, plain, ship, word_hashes
+from .common import mix, numbered, plain, ship, word_hashes
 
 WINDOW, MIN_WORDS, MAX_REPEAT, MAX_LOST = 8, 20, 30, 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: A line without terminal punctuation fails unless it has a sentence's end for so many words.
 WORDS_A_SENTENCE = 40
-#: Phrases of lines that are part of a page's frame, lower case.
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "subscribe to our newsletter", "click here", "share this", "skip to content", "powered by")
+# Phrases of lines that are part of a page's frame, lower case, in the languages of the web's largest parts.
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "subscribe to our newsletter", "click here", "share this", "skip to content", "powered by",
+    "alle rechte vorbehalten", "datenschutzerklärung", "impressum", "nutzungsbedingungen", "newsletter abonnieren", "hier klicken", "zum inhalt springen",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "cliquez ici", "aller au contenu",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "términos de uso", "haga clic aquí", "ir al contenido",
+)
+#: Longer lines are text that mentions such a phrase.
+FRAME_WORDS = 15
 #: Ends of prose lines.
 TERMINAL = regex.compile(r"""[.!?:;…。！？]["'”’»)\]]*$""")
 SEPARATORS = regex.compile(r"(?:^|\s)(?:[|»›/·•>]|::)(?=\s|$)")
@@ -65,7 +73,7 @@ def line_fails(line: str, words: list[bytes]) -> str | None:
     if 4 * sum(line.count(c) for c in SYMBOLS) > len(words) and 20 * sum(line.count(c) for c in SYMBOLS) > size:
         return "navigation" if 3 * len(SEPARATORS.findall(line)) >= len(words) else "symbols"
     low = line.lower()
-    if any(p in low for p in BOILERPLATE):
+    if len(words) <= FRAME_WORDS and any(p in low for p in BOILERPLATE):
         return "boilerplate"
     letters = sum(map(str.isalpha, line)) if line.upper() == line or sum(map(str.isupper, line)) * 2 > len(line) else 0
     if letters > 10 and 2 * sum(map(str.isupper, line)) > letters:
@@ -130,3 +138,19 @@ def clean_lines(text: str | None) -> str:
         seen.add(line)
         out.append(line)
     return "\n".join(out)
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, their texts without the lines that fail, n_chars (if there) counted anew; one pass, no shuffle."""
+    ship(docs.sparkSession)
+    frame, names = numbered(docs)
+    at, count = int(names["text"][1:]), int(names.get("n_chars", "_-1")[1:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array([judge(t.as_py())[6] for t in b.column(at)], pa.bool_()))
+            texts = [clean_lines(t.as_py()) for t in b.column(at)]
+            b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+            yield b if count < 0 else b.set_column(count, b.schema.field(count), pa.array(map(len, texts), b.schema.field(count).type))
+
+    return frame.mapInArrow(run, frame.schema).toDF(*docs.columns)
