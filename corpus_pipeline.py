@@ -3,6 +3,12 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir), works on all that
 the stage before it kept, and returns a DataFrame that is written as Parquet and read again as the
 next stage's docs.  All stages but the last return the columns of documents.
+
+Defined cases: null texts, and texts without letters or far from all languages learned, go in the
+first stage; without any labelled row no language is known and all texts go; texts without words link
+with nothing; rows that repeat a doc_id and text become one in the third stage; a null doc_id
+is smaller than all others; further columns, whatever their names, are kept up to the last stage; an empty
+table, or an empty benchmark, is no error.
 """
 
 from __future__ import annotations
