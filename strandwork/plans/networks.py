@@ -122,10 +122,10 @@ def _items(t: Tables) -> DataFrame:
     return t.dependencies.select("commit_id", (F.col("file") % 40).alias("entity"), "commit_date")
 
 
-@query("association_rules", f"WITH {_RULES.format('l_orderkey % 2 = 0')} SELECT e1, e2, n, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM r", (235,))
+@query("association_rules", f"WITH {_RULES.format('true')} SELECT e1, e2, n, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM r", (235,))
 def association_rules(t: Tables) -> DataFrame:
-    """Rules between entities of one half of the history."""
-    r = N.association_rules(_items(t).where("commit_id % 2 = 0"), 2, 0.1)
+    """Rules between entities of the whole history."""
+    r = N.association_rules(_items(t), 2, 0.1)
     return r.select("e1", "e2", "n", F.round("confidence", 6).alias("confidence"), F.round("lift", 6).alias("lift"))
 
 
