@@ -171,3 +171,19 @@ def block_clusters(blocks: DataFrame, keys: list[str], own: Column, reach: int)
     others = f"aggregate(filter(all, x -> NOT x.own), named_struct('at', 1, 'out', cast(array() AS array<struct<first_line:bigint,last_line:bigint,own:boolean,cluster:int>>)), (acc, x) -> named_struct('at', {step}, 'out', concat(acc.out, array({placed}))), acc -> acc.out)"
     mine = "flatten(transform(c, (y, k) -> transform(y.members, m -> named_struct('first_line', m.first_line, 'last_line', m.last_line, 'own', true, 'cluster', k + 1))))"
     return files.select(*keys, F.explode(F.expr(f"concat({mine}, {others})")).alias("b")).select(*keys, "b.*")
+
+
+def classes_by_degree(edges: DataFrame, graph: tuple[str, ...], quantile: float = 0.8) -> DataFrame:
+    """(graph, vertex, degree, class) of many networks at once: core above the quantile of the degrees of both directions."""
+    ends = edges.where("from_id <> to_id").select(*graph, F.explode(F.array("from_id", "to_id")).alias("vertex"))
+    d = ends.groupBy(*graph, "vertex").agg(F.count("*").alias("degree"))
+    q = d.groupBy(*graph).agg(F.percentile("degree", F.lit(quantile)).alias("_q"))
+    return d.join(q, list(graph)).select(*graph, "vertex", "degree", F.when(F.col("degree") > F.col("_q"), "core").otherwise("peripheral").alias("class"))
+
+
+def trends(edges: DataFrame, graph: tuple[str, ...]) -> DataFrame:
+    """Measures of many networks at once: (graph, vertices, edges, density, mean_degree, strength, core); strength sums ln(1 + weight)."""
+    c = classes_by_degree(edges, graph).groupBy(*graph).agg(F.count("*").alias("vertices"), F.avg("degree").alias("mean_degree"), F.count_if(F.col("class") == "core").alias("core"))
+    e = edges.where("from_id <> to_id").groupBy(*graph).agg(F.count("*").alias("edges"), F.sum(F.log1p("weight")).alias("strength"))
+    n = F.col("vertices")
+    return c.join(e, list(graph)).select(*graph, "vertices", "edges", F.try_divide("edges", n * (n - 1)).alias("density"), "mean_degree", "strength", "core")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import measures as X
 from ..operators import networks as N
+from ..operators import timeseries as T
 from ..sources.tables import Tables
 from . import networks as P
 from .base import REGISTRY, query
@@ -113,3 +114,31 @@ def link_networks(t: Tables) -> DataFrame:
     for x in each[1:]:
         out = out.union(x)
     return out
+
+
+_WINDOWS = """k AS (SELECT i AS window_id, CAST(DATE '1995-01-01' + CAST(i * 14 AS INT) AS DATE) AS window_start FROM range(0, 180) r(i)),
+m AS (SELECT window_id, l_orderkey AS th, l_suppkey AS a, l_shipdate AS s FROM lineitem JOIN k ON CAST(l_shipdate AS DATE) >= window_start AND CAST(l_shipdate AS DATE) < window_start + 90 WHERE window_start + 90 <= DATE '2001-08-01'),
+e AS (SELECT x.window_id, x.a AS from_id, y.a AS to_id, count(*) AS weight FROM m x JOIN m y ON x.window_id = y.window_id AND x.th = y.th AND x.a <> y.a AND x.s > y.s GROUP BY 1, 2, 3),
+d AS (SELECT window_id, vertex, count(*) AS degree FROM (SELECT window_id, from_id AS vertex FROM e UNION ALL SELECT window_id, to_id FROM e) GROUP BY 1, 2),
+c AS (SELECT d.window_id, vertex, degree, CASE WHEN degree > q THEN 'core' ELSE 'peripheral' END AS class FROM d JOIN (SELECT window_id, quantile_cont(degree, 0.8) AS q FROM d GROUP BY 1) z ON z.window_id = d.window_id)"""
+
+
+def _windowed(t: Tables) -> DataFrame:
+    w = T.sliding_windows(t.mails, "sent", "1995-01-01", "2001-08-01", 90, 14)
+    return N.mail_edges(w, ("window_id",))
+
+
+@query("project_trends", f"""
+WITH {_WINDOWS}, n AS (SELECT window_id, count(*) AS vertices, avg(degree) AS mean_degree, count(*) FILTER (WHERE class = 'core') AS core FROM c GROUP BY 1), g AS (SELECT window_id, count(*) AS edges, sum(ln(1 + weight)) AS strength FROM e GROUP BY 1)
+SELECT n.window_id, vertices, edges, round(edges / nullif(vertices * (vertices - 1), 0), 6) AS density, round(mean_degree, 6) AS mean_degree, round(strength, 4) AS strength, core FROM n JOIN g ON g.window_id = n.window_id""", (274,))
+def project_trends(t: Tables) -> DataFrame:
+    """Measures of the mail network in windows of 90 days every 14 days."""
+    r = X.trends(_windowed(t), ("window_id",))
+    return r.select("window_id", "vertices", "edges", F.round("density", 6).alias("density"), F.round("mean_degree", 6).alias("mean_degree"), F.round("strength", 4).alias("strength"), "core")
+
+
+@query("trend_transitions", f"WITH {_WINDOWS}, l AS (SELECT class AS before, lead(class) OVER (PARTITION BY vertex ORDER BY window_id) AS after FROM c), g AS (SELECT before, after, count(*) AS n FROM l WHERE after IS NOT NULL GROUP BY 1, 2) SELECT before, after, n, round(n / sum(n) OVER (PARTITION BY before), 6) AS p FROM g", (274,))
+def trend_transitions(t: Tables) -> DataFrame:
+    """How classes of developers change from one window that they are in to the next."""
+    c = X.classes_by_degree(_windowed(t), ("window_id",))
+    return G.markov(c, "vertex", "window_id", "class").withColumn("p", F.round("p", 6))
