@@ -11,7 +11,8 @@ within the radius are verified by exact similarity: sum of the lesser over sum o
 the greater number of each shingle.
 
 The scan's join broadcasts the benchmark only up to ``MOST_ITEMS`` rows by count;
-a larger one is joined by shuffle.
+with a larger one the hashes of shingles, their places and rows are shuffled, without
+texts, and the windows are cut from the texts of the rows that have any.
 
 Defined cases: null or empty texts and items match nothing; items with fewer
 than five words are one shingle, the whole item; a text shorter than the item is
@@ -22,10 +23,12 @@ tables give no rows; further columns, clashing names included, are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, ascii_lower, bounded, materialize, numbered, plain, row_key, words
+from .common import SHINGLE, ascii_lower, bounded, discard, materialize, numbered, plain, row_key, words
 
 PERCENT = 80
 BLOCKS, NEAR = 8, 2
@@ -77,11 +80,17 @@ def _hits(docs: DataFrame, items: DataFrame, width: int, small: bool) -> DataFra
     before = F.when(F.col("pos") > 0, F.xxhash64(*[F.expr(f"get(ws, pos + {k - 1})") for k in range(width)]))
     own = items.where(f"least(m, {SHINGLE}) = {width}").select("m", F.posexplode("sh0").alias("place", "h"), "sh0")
     own = own.select("m", "place", "h", F.expr("CASE WHEN place > 0 THEN sh0[place - 1] END").alias("h_before")).distinct()
-    own = F.broadcast(own) if small else own
-    j = at.withColumn("h", here).join(own, "h").where(~before.eqNullSafe(F.col("h_before")) | F.col("h_before").isNull())
-    start = F.greatest(F.lit(0), F.least(F.expr("pos - place"), F.expr("size(ws) - m")))
-    j = j.withColumn("start", start)
-    return j.select(row_key().alias("row"), "doc_id", "start", "m", F.slice("ws", F.col("start") + 1, F.col("m")).alias("ws"))
+    start = F.greatest(F.lit(0), F.least(F.expr("pos - place"), F.expr("n - m"))).alias("start")
+    if small:
+        j = at.withColumns({"h": here, "n": F.size("ws")}).join(F.broadcast(own), "h").where(~before.eqNullSafe(F.col("h_before")) | F.col("h_before").isNull())
+        found = j.select(row_key().alias("row"), "doc_id", start, "m", "ws")
+    else:
+        narrow = at.where("pos IS NOT NULL").select(row_key().alias("row"), F.size("ws").alias("n"), "pos", here.alias("h"), before.alias("b"))
+        j = narrow.join(own, "h").where(~F.col("b").eqNullSafe(F.col("h_before")) | F.col("h_before").isNull())
+        starts = materialize(j.select("row", start, "m").distinct().groupBy("row").agg(F.collect_list(F.struct("start", "m")).alias("at")))
+        j = texts.withColumn("row", row_key()).join(bounded(starts), "row").select("row", "doc_id", "ws", F.explode("at").alias("x"))
+        found = j.select("row", "doc_id", "x.start", "x.m", "ws")
+    return found.withColumn("ws", F.slice("ws", F.col("start") + 1, F.col("m")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
@@ -96,10 +105,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     items = materialize(b.select("item_id", F.size("ws").alias("m"), plain_hash.alias("sh0"), shingles("ws").alias("sh")).select("*", weighted("sh").alias("w"), simhash("sh").alias("sim")))
     small = items.count() <= MOST_ITEMS
     widths = [r[0] for r in items.select(F.least("m", F.lit(SHINGLE))).distinct().collect()]
-    hits = docs.sparkSession.createDataFrame([], "row bigint, doc_id bigint, start int, m int, ws array<string>")
-    for w in sorted(widths):
-        hits = hits.union(_hits(docs, items, w, small))
-    hits = materialize(hits.withColumn("window", F.xxhash64("ws", "m")))
+    each = [_hits(docs, items, w, small) for w in sorted(widths) or [SHINGLE]]
+    hits = materialize(reduce(DataFrame.union, each).withColumn("window", F.xxhash64("ws", "m")))
     windows = hits.groupBy("window").agg(F.max("m").alias("m"), F.max("ws").alias("ws")).withColumn("sh", shingles("ws"))
     windows = materialize(windows.select("window", "m", weighted("sh").alias("w"), simhash("sh").alias("sim")))
     near = F.array(*[F.lit(x).cast("bigint") for x in _MASKS])
@@ -111,7 +118,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     checked = pairs.join(a, "window").join(c, "item_id").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= radius)
     checked = checked.withColumn("o", F.size(F.array_intersect("wa", "wb"))).withColumn("u", F.size("wa") + F.size("wb") - F.col("o"))
     found = checked.where(100 * F.col("o") >= percent * F.col("u")).select("window", "item_id", (F.col("o") / F.col("u")).alias("similarity"))
-    return hits.join(found.distinct(), "window").select("row", "doc_id", "item_id", "start", "similarity")
+    out = materialize(hits.join(found.distinct(), "window").select("row", "doc_id", "item_id", "start", "similarity"))
+    discard(items, hits, windows)
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
