@@ -1,10 +1,11 @@
 """Line dedup: long lines that many documents hold are kept in one document only.
 
-DataFrame operations only.  The 128-bit hashes of the distinct keys of each
-document are range-partitioned by (hash, document), so that a line held by a third
-of all documents is dealt over many partitions; within a partition they are sorted
-and streamed once into counts, which are partial sums for each hash.  The result is
-a compressed bitmap of each document's dropped lines, 63 lines a word, words
+DataFrame operations only.  The 128-bit hashes of the keys of all lines are
+range-partitioned by (hash, salt of the document), so that a line held by a third of all
+documents is dealt over ``SALTS`` groups, and sorted by (hash, salt, document, position)
+within the partitions.  One pass over the sorted rows keeps a line's first occurrence in each document;
+their counts and greatest documents are partial sums for each hash.  The result is
+a compressed bitmap of each document's kept lines, 63 lines a word, words
 without a dropped line left out; the text itself is touched once, where the bitmaps are applied.
 
 Defined cases: null and empty texts are one empty line; rows that repeat a doc_id
@@ -15,7 +16,7 @@ clashing names included, are ignored by ``line_dedup`` and kept by ``clean_docum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, bounded, discard, materialize, numbered, plain, row_key
@@ -26,6 +27,8 @@ MIN_CHARS, MIN_DOCS = 40, 5
 MOST_BITMAPS = 200_000
 #: Lines in a word of a bitmap.
 WORD = 63
+#: Groups that the documents of one line are dealt to.
+SALTS = 256
 _NO_ID = -(2**63) + 1
 
 
@@ -44,15 +47,22 @@ def _long_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     return flat.select("row", "id", "pos", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(7), low).alias("h2"))
 
 
+def first_occurrences(keys: DataFrame) -> DataFrame:
+    """The first row of each (h1, h2, id), greatest id first, in one pass over range-partitioned, sorted rows."""
+    dealt = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).repartitionByRange("h1", "h2", "salt")
+    stream = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc("id"), "pos")
+    return dealt.withColumn("before", F.lag("id").over(stream)).where("before IS NULL OR before <> id").drop("before")
+
+
 def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """A table (row, n_dropped, dropped): for rows that lose lines, their key, how many, and a map of word to bits."""
+    """A table (row, n_dropped, kept): for rows that lose lines, their key, how many, and a map of word to bits of kept lines."""
     keys = materialize(_long_keys(docs, min_chars))
-    first = keys.select("h1", "h2", "id").repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "id").distinct()
+    first = first_occurrences(keys.select("h1", "h2", "id", "pos"))
     common = first.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
     common = materialize(common)
     lost = keys.join(bounded(common), ["h1", "h2"]).where("id <> keeper").select("row", "pos").distinct()
-    bits = lost.groupBy("row", F.expr(f"pos div {WORD}").cast("int").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pos % {WORD} as int)))").alias("bits"), F.count("*").alias("n"))
-    bitmaps = bits.groupBy("row").agg(F.sum("n").alias("n_dropped"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("dropped"))
+    bits = lost.groupBy("row", F.expr(f"pos div {WORD}").cast("int").alias("word")).agg(F.expr(f"~ bit_or(shiftleft(1L, cast(pos % {WORD} as int)))").alias("bits"), F.count("*").alias("n"))
+    bitmaps = bits.groupBy("row").agg(F.sum("n").alias("n_dropped"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("kept"))
     out = materialize(bitmaps)
     discard(keys, common)
     return out
@@ -61,9 +71,9 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 def _kept(frame: DataFrame, doc_id: str, text: str, bitmaps: DataFrame) -> DataFrame:
     """``frame`` with _lines, _dropped (how many) and _kept, the text of the other lines."""
     bitmaps = F.broadcast(bitmaps) if bitmaps.count() <= MOST_BITMAPS else bitmaps  # beyond that the texts are shuffled
-    marks = bitmaps.select(F.col("row").alias("_row"), F.col("n_dropped").alias("_n"), F.col("dropped").alias("_d"))
+    marks = bitmaps.select(F.col("row").alias("_row"), F.col("n_dropped").alias("_n"), F.col("kept").alias("_k"))
     both = frame.withColumn("_row", row_key(doc_id, text)).join(marks, "_row", "left").withColumn("_l", lines(F.col(text)))
-    left = F.expr(f"filter(_l, (x, i) -> (coalesce(try_element_at(_d, cast(i div {WORD} as int)), 0L) & shiftleft(1L, i % {WORD})) = 0)")
+    left = F.expr(f"filter(_l, (x, i) -> (coalesce(try_element_at(_k, cast(i div {WORD} as int)), -1L) & shiftleft(1L, i % {WORD})) <> 0)")
     kept = F.when(F.col("_n").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(left, "\n"))
     return both.withColumns({"_lines": F.size("_l").cast("bigint"), "_dropped": F.coalesce("_n", F.lit(0)), "_kept": kept})
 
