@@ -3,12 +3,15 @@
 A word is a run of characters other than space and \\x09-\\x0D.  Word shingles
 have five words (``SHINGLE``); texts with fewer words have one shingle, the
 whole sequence; texts without words have none.  Shingle and set hashes have 64
-bits (sets: 128 for grouping), so equality of hashes is taken as equality.
+bits, and equality of hashes is taken as equality.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -27,9 +30,11 @@ SPACE = r"[\x20\x09-\x0D]"
 
 # --------------------------------------------------------------- shared tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all is on one machine (tests), one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all machines share")
         path = tempfile.mkdtemp(prefix="strandwork-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -119,6 +124,17 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+def room() -> None:
+    """Give back what other operators' functions have left in this Python worker; Spark keeps workers from stage to stage."""
+    bpe = sys.modules.get(f"{__package__}.bpe")
+    if bpe is not None and bpe.tokenizer.cache_info().currsize:
+        bpe.tokenizer.cache_clear()
+        gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # --------------------------------------------------------------- column forms
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else; texts of ASCII only take the fast way."""

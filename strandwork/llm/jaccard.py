@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, materialize, numbered, plain, row_key, set_key, ship, signature, text_shingles
+from .common import bounded, discard, materialize, numbered, plain, room, row_key, set_key, ship, signature, text_shingles
 from .linkage import link_components
 
 PERCENT = 80
@@ -55,6 +55,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 def _parser(percent: int):  # noqa: ANN202
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, text, key) to (doc_id, key, n, k1, pref): k1 stands for the set, pref is the prefix by hash with some more tokens."""
+        room()
         for b in batches:
             sets = [text_shingles(t.as_py()) for t in b.column(1)]
             pref = [s[: int(SLACK * prefix_length(len(s), percent)) + 8] for s in sets]
@@ -72,12 +73,14 @@ def _found(nodes: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) to (node, toks, sig)."""
+    room()
     for b in batches:
         yield _found(b.column(0), [text_shingles(t.as_py()) for t in b.column(1)])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (node, toks, sig) with the set's key for its node."""
+    room()
     for b in batches:
         sets = [s for s in (text_shingles(t.as_py()) for t in b.column(1)) if len(s)]
         yield _found(pa.array(map(set_key, sets), pa.int64()), sets)
@@ -136,6 +139,7 @@ def _cutter(shared: Broadcast, percent: int):  # noqa: ANN202
     """(node, n, pref by hash) to (node, n, pref in the global order); null where the stored prefix is too short for that."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room()
         frequent = shared.value
         for b in batches:
             out = []
@@ -156,6 +160,7 @@ def _orderer(shared: Broadcast, percent: int):  # noqa: ANN202
     """(node, toks) to (node, n, pref in the global order)."""
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room()
         frequent = shared.value
         for b in batches:
             sets = [x.values.to_numpy() for x in b.column(1)]

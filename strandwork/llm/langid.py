@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, plain, ship
+from .common import numbered, plain, room, ship
 
 DIMS = 4096
 FIT_ROWS, CENTROIDS = 2400, 4
@@ -116,6 +116,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, places, counts), without texts that have no letter."""
+    room()
     for b in batches:
         got = [(lang, c) for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if (c := counts(t.as_py())) is not None]
         yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([np.flatnonzero(g[1]).astype(np.uint16).tobytes() for g in got], pa.binary()), pa.array([g[1][g[1] > 0].astype(np.float32).tobytes() for g in got], pa.binary())], ["lang", "places", "counts"])
@@ -145,6 +146,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room()
         m = shared.value
         for b in batches:
             got = [m.predict(t.as_py()) for t in b.column(2)]
@@ -162,6 +164,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     at = int(names["text"][1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room()
         m = shared.value
         for b in batches:
             yield b.filter(pa.array([not m.predict(t.as_py())[2] for t in b.column(at)], pa.bool_()))
