@@ -114,28 +114,80 @@ def dedup_lines(rows):
     return out
 
 
-def repeated_paragraphs(rows, least=50):
-    """{(doc_id, paragraph): first of its cluster} for clusters in two documents, or twice in one without overlap."""
-    sets, end = {}, {}
+def holders(rows, length):
+    """Documents with ``length`` words in a row that another document has, too."""
+    seen = defaultdict(set)
     for i, t in rows:
-        lines = (t or "").split("\n")
-        size = [len(words(x)) for x in lines]
-        for k, n in enumerate(size):
-            stop = k
-            while n < least and stop + 1 < len(lines) and size[stop + 1] < least and size[k] < least:
-                stop += 1
-                n += size[stop]
-            if size[k] and n >= least:
-                sets[i, k], end[i, k] = shingles("\n".join(lines[k : stop + 1])), stop
-    ids = sorted(sets)
+        ws = words(lower(t))
+        for k in range(len(ws) - length + 1):
+            seen[tuple(ws[k : k + length])].add(i)
+    return {i for ids in seen.values() if len(ids) > 1 for i in ids}
+
+
+def repeated_passages(rows, places, width=32, least=36):
+    """{(doc_id, first word, words, counterpart, its word)}; ``places(text)`` gives the words at which paragraphs begin."""
+    sets, opening = {}, {}
+    for i, t in rows:
+        ws = words(lower(t))
+        for k in places(t):
+            sets[i, k], opening[i, k] = shingles(" ".join(ws[k : k + width])), tuple(ws[k : k + 5])
     held = defaultdict(list)
+    for k, x in opening.items():
+        held[x].append(k)
+    many = {k for ks in held.values() if len({sets[k] for k in ks}) > 1 for k in ks}
+    ids = sorted(k for ks in held.values() if len(ks) > 1 for k in ks)
+    by = defaultdict(set)
     for k in ids:
         for x in sets[k]:
-            held[x].append(k)
-    near = {(a, b) for ks in held.values() for n, a in enumerate(ks) for b in ks[n + 1 :]}
-    comp = groups(ids, [(a, b) for a, b in near if alike(sets[a], sets[b])])
+            by[x].add(k)
+    near = {(a, b) for ks in by.values() for a in ks for b in ks if a < b}
+    comp = groups(ids, [(a, b) for a, b in near if sets[a] == sets[b] or {a, b} <= many and alike(sets[a], sets[b])])
     members = defaultdict(list)
     for k, c in comp.items():
         members[c].append(k)
-    good = {c for c, ks in members.items() if len({i for i, _ in ks}) > 1 or max(k for _, k in ks) > min(end[k] for k in ks)}
-    return {k: c for k, c in comp.items() if c in good}
+    good = {c for c, ks in members.items() if len({i for i, _ in ks}) > 1}
+    runs = {}
+    for (i, k), (j, m) in sorted(comp.items()):
+        if (j, m) in good and (i != j or k == m or k >= m + width):
+            mine = runs.setdefault((i, j, (i, k) != (j, m)), [])
+            if mine and k - mine[-1][1] <= width:
+                mine[-1][1] = k
+            else:
+                mine.append([k, k, m])
+    return {(i, a, b - a + width, j, m) for (i, j, _), mine in runs.items() for a, b, m in mine if b - a + width >= least}
+
+
+FRAME = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "subscribe to our newsletter", "click here", "share this", "skip to content", "powered by",
+    "alle rechte vorbehalten", "datenschutzerklärung", "impressum", "nutzungsbedingungen", "newsletter abonnieren", "hier klicken", "zum inhalt springen",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "cliquez ici", "aller au contenu",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "términos de uso", "haga clic aquí", "ir al contenido",
+)
+
+
+def line_fails(line):
+    """Whether a line with words fails a rule of its own."""
+    ws = words(line)
+    marks = len(re.findall(r"[#*$%&|<>]", line))
+    if 4 * marks > len(ws) and 20 * marks > sum(len(w.encode()) for w in ws):
+        return True
+    if len(ws) <= 15 and any(x in line.lower() for x in FRAME):
+        return True
+    capitals, letters = sum(c.isupper() for c in line), sum(c.isalpha() for c in line)
+    if letters > 10 and 2 * capitals > letters and (2 * capitals > len(line) or line == line.upper()):
+        return True
+    if re.search(r"""[.!?:;…。！？]["'”’»)\]]*$""", line.rstrip(SPACE)):
+        return False
+    return len(ws) < 4 or 40 * sum(w[-1] in ".!?:;" for w in ws) < len(ws)
+
+
+def failed_lines(text):
+    """(lines that fail or repeat, their characters in words, all characters in words)."""
+    seen, failed, lost = set(), 0, 0
+    for line in (text or "").split("\n"):
+        ws = words(line)
+        if ws:
+            if line in seen or line_fails(line):
+                failed, lost = failed + 1, lost + sum(map(len, ws))
+            seen.add(line)
+    return failed, lost, sum(map(len, words(text)))

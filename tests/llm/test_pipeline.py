@@ -52,6 +52,25 @@ def test_stages_and_result(spark, folder):
     assert set(map(tuple, corpus_pipeline.run(spark, folder).collect())) == want
 
 
+def test_run_of_an_empty_table(spark, tmp_path):
+    spark.read.parquet(f"{SMALL}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == 0
+
+
+def test_run_with_clashing_names_nulls_and_repeats(spark, tmp_path):
+    d = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) > 600 AND lang IS NOT NULL").orderBy("doc_id").limit(40)
+    rows = {r["doc_id"]: r["text"] for r in d.collect()}
+    extra = spark.createDataFrame([(None, None, None, None, None), (30_000, "", "en", None, 0)], d.schema)
+    names = ("row", "_row", "_key", "key", "pos", "node", "window", "comp", "id")
+    (d.union(d.limit(5)).union(extra).withColumns({n: F.lit(k) for k, n in enumerate(names)})).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    cut = {i: t for i, _, _, t in brute.dedup_lines(list(rows.items()))}
+    assert got == sorted(i for i, (_, c) in brute.jaccard(list(cut.items())).items() if c == i)
+
+
 def test_stage_count_and_registration():
     import __spark_entry__ as e
 
