@@ -6,17 +6,19 @@ before and after.  A passage brings its places along into whatever text, line or
 put, so its copies have the same paragraphs; texts have one about every 2 * ``REACH`` + 1
 words, no two of them nearer than ``REACH`` + 1.
 
-Paragraphs with equal shingles are one node.  Those whose first five words begin
-different paragraphs elsewhere are reduced to MinHash signatures of their 5-word shingles;
-``BANDS`` bands of ``ROWS`` hashes find a pair with similarity 0.8 with probability
-1 - (1 - 0.8^4)^14 = 0.9994.  Paragraphs that share a band are verified by exact Jaccard
+Two like paragraphs share ``SHARED`` of their least shingle hashes: a first pass keeps the
+paragraphs of which so many occur among the least ones of others.  Those with equal shingles are one
+node, and the hashes of a node are dealt to ``BANDS`` bands by their value.  Two nodes with
+similarity 0.8 differ in at most ``BANDS`` - 1 hashes, so one band at least is the same in both and its
+content is a key; for a band without hashes the least hashes of the node are keys in its place.  No
+link is left to chance.  Paragraphs that share a band are verified by exact Jaccard
 similarity (``linkage``) and clustered by connected components.  Of each cluster the
 paragraph at the smallest (doc_id, word) is kept and the others are removed;
 overlapping paragraphs of a document whose first ones are in the same document are one passage, and
 passages of at least ``MIN_WORDS`` words are reported.
 
 Bounds: copied passages of 51 words are found in about 93 of 100 cases, of 55 words in 97, of
-60 words in 99.7 (a test measures it); edits in a passage cost the paragraphs that they are in.
+60 words in 99.7 (a test measures it), as they depend on the places; edits in a passage cost the paragraphs that they are in.
 
 Defined cases: null and empty texts, and those of fewer words than a paragraph, have
 none; rows that repeat a doc_id are one document, in which equal places don't repeat
@@ -35,19 +37,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SHINGLE, bounded, discard, materialize, mix, plain, room, shingle_hashes, ship, signature, word_hashes
-from .jaccard import PERCENT, SETS
+from .jaccard import PERCENT, SETS, prefix_length
 from .linkage import link_components
 
 PARAGRAPH, REACH, MIN_WORDS = 32, 4, 36
 #: Shingles of a paragraph.
 WIDTH = PARAGRAPH - SHINGLE + 1
-BANDS, ROWS = 14, 4
+#: Of their least shingles, like paragraphs share so many.
+SHARED = 2
 _NO_ID = -(2**62)
-_SEEDS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_BAND = mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
-_ROW = mix(np.arange(201, 201 + ROWS, dtype=np.uint64)) | np.uint64(1)
-#: Paragraphs whose MinHash rows are computed at a time.
-_CHUNK = 128
+
+
+def _salts(first: int, n: int) -> np.ndarray:
+    return mix(np.arange(first, first + n, dtype=np.uint64))
+
+
+def n_bands(percent: int) -> int:
+    """One more than the hashes in which two like paragraphs differ at most."""
+    return (100 - percent) * 2 * WIDTH // (100 + percent) + 1
+
+
+#: Bands at the usual threshold.
+BANDS = n_bands(PERCENT)
 
 
 def shingles_in_order(text: str | None) -> np.ndarray:
@@ -76,33 +87,111 @@ def nodes_of(sh: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total[at + WIDTH] - total[at]).view(np.int64)
 
 
-def bands(sh: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row of band keys for each paragraph."""
-    u = (sh >> np.uint64(32)).astype(np.uint32)  # 32 bits multiply fastest; rows only propose pairs
-    low = np.empty((len(at), BANDS * ROWS), np.uint32)
-    for k in range(0, len(at), _CHUNK):
-        own = u[at[k : k + _CHUNK, None] + np.arange(WIDTH)]
-        x = own[:, :, None] * _SEEDS
-        x ^= x >> np.uint32(16)
-        x.min(1, out=low[k : k + _CHUNK])
-    return mix(_BAND + (low.reshape(len(at), BANDS, ROWS).astype(np.uint64) * _ROW).sum(2, dtype=np.uint64)).view(np.int64)
-
-
-def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, start, opening, node)."""
+def leading(sh: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each paragraph the words of its least shingles, how many of them a like one has among its own, and whether it repeats a shingle of the text."""
+    width = min(WIDTH, prefix_length(WIDTH, percent) + SHARED - 1)
+    own = sh[at[:, None] + np.arange(WIDTH)]
+    first = at[:, None] + np.argsort(own, 1)[:, :width]
+    need, odd = np.full(len(at), min(SHARED, -(-percent * WIDTH // 100))), np.zeros(len(at), bool)
+    x = np.sort(sh)
+    again = x[1:][x[1:] == x[:-1]]
+    if len(again):
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.isin(sh, again))])
+        odd = total[at + WIDTH] > total[at]
+        for k in np.flatnonzero(odd).tolist():
+            u, where = np.unique(own[k], return_index=True)
+            if len(u) < WIDTH:
+                where = where[: prefix_length(len(u), percent) + SHARED - 1]
+                first[k] = at[k] + np.resize(where[:width], width)
+                need[k] = min(SHARED, -(-percent * len(u) // 100))
+    return first, need, odd
+
+
+def bands(sh: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of distinct shingles of each paragraph, and the keys of all with the paragraphs that they belong to."""
+    k = n_bands(percent)
+    full, empty = _salts(101, k), _salts(10_001, k)
+    own = np.sort(sh[at[:, None] + np.arange(WIDTH)], 1)
+    new = np.ones(own.shape, bool)
+    new[:, 1:] = own[:, 1:] != own[:, :-1]
+    n = new.sum(1)
+    value = np.where(new, mix(own), np.uint64(0))
+    band = ((own & np.uint64(0xFFFFFFFF)) * np.uint64(k)) >> np.uint64(32)
+    mine = [(band == b) & new for b in range(k)]
+    held = np.stack([x.any(1) for x in mine], 1)
+    key = mix(np.stack([(value * x).sum(1, dtype=np.uint64) for x in mine], 1) + full)
+    # Two nodes may agree in nothing but a band without hashes: those that have one meet by their least hashes.
+    row, b = np.nonzero(~held)
+    least = new & (np.cumsum(new, 1) <= np.array([prefix_length(x, percent) for x in range(WIDTH + 1)])[n][:, None])
+    more = mix(own[row] + empty[b][:, None])[least[row]]
+    owner = np.concatenate([np.nonzero(held)[0], np.repeat(row, least[row].sum(1))])
+    return n, np.concatenate([key[held], more]).view(np.int64), owner
+
+
+def _occurrences(percent: int):  # noqa: ANN202
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text) to (id, place, token): the places where least shingles of paragraphs stand, numbered; twice where the text may repeat them itself."""
+        room()
+        for b in batches:
+            count, place, token = [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for t in b.column(1):
+                sh = shingles_in_order(t.as_py())
+                at = places(sh)
+                n = 0
+                if len(at):
+                    first, _, odd = leading(sh, at, percent)
+                    pos = np.unique(first)
+                    place.append(np.arange(len(pos)))
+                    token.append(sh[pos])
+                    n = len(pos)
+                    if odd.any():
+                        twice = np.searchsorted(pos, np.unique(first[odd]))
+                        place.append(twice)
+                        token.append(sh[pos[twice]])
+                        n += len(twice)
+                count.append(n)
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(token).view(np.int64))], ["id", "place", "token"])
+
+    return occurrences
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, list of places) to (id, bits)."""
     room()
     for b in batches:
-        count, start, opening, node = [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for t in b.column(1):
-            sh = shingles_in_order(t.as_py())
-            at = places(sh)
-            count.append(len(at))
-            if len(at):
-                start.append(at)
-                opening.append(sh[at])
-                node.append(nodes_of(sh, at))
-        ids = b.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(opening).view(np.int64)), pa.array(np.concatenate(node))], ["doc_id", "start", "opening", "node"])
+        bits = []
+        for x in b.column(1):
+            at = x.values.to_numpy()
+            held = np.zeros(int(at.max()) + 1, np.uint8)
+            held[at] = 1
+            bits.append(np.packbits(held).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], ["id", "bits"])
+
+
+def _paragraphs(percent: int):  # noqa: ANN202
+    def paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, text, bits) to (id, start, node) of the paragraphs with enough least shingles at places that are set."""
+        room()
+        for b in batches:
+            count, start, node = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for t, bits in zip(b.column(1), b.column(2), strict=True):
+                sh = shingles_in_order(t.as_py())
+                at = places(sh)
+                if len(at):
+                    first, need, _ = leading(sh, at, percent)
+                    pos = np.unique(first)
+                    held = np.flatnonzero(np.unpackbits(np.frombuffer(bits.as_py(), np.uint8)))
+                    met = np.zeros(len(sh), bool)
+                    met[pos[held[held < len(pos)]]] = True
+                    at = at[met[first].sum(1) >= need]
+                    start.append(at)
+                    node.append(nodes_of(sh, at))
+                count.append(len(at))
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(node))], ["id", "start", "node"])
+
+    return paragraphs
 
 
 def _wanted(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,20 +202,21 @@ def _wanted(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield sh, at[at + WIDTH <= len(sh)]
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted places) to (node, n, keys)."""
-    room()
-    for b in batches:
-        node, n, keys = [np.empty(0, np.int64)], [], [np.empty((0, BANDS), np.int64)]
-        for sh, at in _wanted(b):
-            if len(at):
-                node.append(nodes_of(sh, at))
-                own = np.sort(sh[at[:, None] + np.arange(WIDTH)], 1)
-                n += (1 + (own[:, 1:] != own[:, :-1]).sum(1)).tolist()
-                keys.append(bands(sh, at))
-        flat = np.concatenate(keys)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * BANDS), pa.array(flat.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(n, pa.int64()), lists], ["node", "n", "keys"])
+def _banded(percent: int):  # noqa: ANN202
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text, wanted places) to (key, node, n)."""
+        room()
+        for b in batches:
+            key, node, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for sh, at in _wanted(b):
+                if len(at):
+                    size, keys, owner = bands(sh, at, percent)
+                    key.append(keys)
+                    node.append(nodes_of(sh, at)[owner])
+                    n.append(size[owner])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, node, n)], ["key", "node", "n"])
+
+    return banded
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +232,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """A table (node, comp) of the nodes that are like another one; ``classes`` has (node, id, start, many)."""
+    """A table (node, comp) of the nodes that are like another one; ``classes`` has (node, id, start)."""
 
     def found(nodes: DataFrame) -> DataFrame:
         """(text, wanted places) of the documents that hold the first place of each node."""
@@ -152,27 +242,34 @@ def _linked(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def sets_of(nodes: DataFrame) -> DataFrame:
         return found(classes.join(bounded(nodes), "node", "left_semi")).mapInArrow(_sets, SETS).dropDuplicates(["node"])
 
-    banded = found(classes.where("many")).mapInArrow(_banded, "node bigint, n bigint, keys array<bigint>")
-    banded = materialize(banded.select("node", "n", F.explode(F.array_distinct("keys")).alias("key")).distinct())
+    banded = found(classes).mapInArrow(_banded(percent), "key bigint, node bigint, n bigint")
+    # Only rows that repeat an id give a node twice.
+    repeated = not texts.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    banded = materialize(banded.distinct() if repeated else banded)
     comps = link_components(banded.select("key", "node", "n", F.lit(0).alias("pos")), sets_of, percent)
     discard(banded)
     return comps
 
 
+def _candidates(texts: DataFrame, percent: int) -> DataFrame:
+    """A table (id, start, node) of all paragraphs that another one can be like."""
+    of = texts.mapInArrow(_occurrences(percent), "id bigint, place int, token bigint").withColumn("c", F.count("*").over(Window.partitionBy("token")))
+    met = materialize(of.where("c > 1").groupBy("id").agg(F.collect_list("place").alias("places")))
+    want = materialize(met.mapInArrow(_packed, "id bigint, bits binary"))
+    out = materialize(texts.join(bounded(want), "id").select("id", "text", "bits").mapInArrow(_paragraphs(percent), "id bigint, start int, node bigint"))
+    discard(met, want)
+    return out
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each passage that another document has, too: doc_id, paragraph (its first word), n_words, cluster_doc, cluster_paragraph, n_members, removed."""
     ship(docs.sparkSession)
     texts = plain(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
-    full = materialize(texts.mapInArrow(_paragraphs, "doc_id bigint, start int, opening bigint, node bigint").withColumnRenamed("doc_id", "id"))
-    # A like begins with the same words, or its neighbour does: paragraphs with an opening of their own have none.
-    met = full.groupBy("opening").agg(F.count("*").alias("c"), F.min("node").alias("x"), F.max("node").alias("y")).where("c > 1")
-    met = materialize(met.select("opening", (F.col("x") != F.col("y")).alias("many")))
-    base = materialize(full.join(met, "opening").select("id", "start", "node", "many"))
-    discard(full, met)
+    base = _candidates(texts, percent)
     place = F.struct("id", "start")
-    spread = [F.min(place).alias("least"), F.max("id").alias("last_id"), F.max("many").alias("many"), F.count("*").alias("c")]
+    spread = [F.min(place).alias("least"), F.max("id").alias("last_id"), F.count("*").alias("c")]
     classes = materialize(base.groupBy("node").agg(*spread).select("*", "least.id", "least.start"))
-    comps = _linked(texts, classes.select("node", "id", "start", "many"), percent)
+    comps = _linked(texts, classes.select("node", "id", "start"), percent)
     member = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     clusters = member.groupBy("comp").agg(F.sum("c").alias("n_members"), F.min("least").alias("first"), F.max("last_id").alias("last_id")).where("first.id <> last_id")
     known = materialize(member.select("node", "comp").join(clusters, "comp").select("node", "n_members", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")))

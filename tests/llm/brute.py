@@ -157,6 +157,29 @@ def repeated_passages(rows, places, width=32, least=36):
     return {(i, a, b - a + width, j, m) for (i, j, _), mine in runs.items() for a, b, m in mine if b - a + width >= least}
 
 
+def all_passages(rows, places, width=32, least=36):
+    """As ``repeated_passages``, with the links of all pairs of paragraphs, however they begin."""
+    sets = {(i, k): shingles(" ".join(words(lower(t))[k : k + width])) for i, t in rows for k in places(t)}
+    by = defaultdict(set)
+    for k, xs in sets.items():
+        for x in xs:
+            by[x].add(k)
+    near = {(a, b) for ks in by.values() for a in ks for b in ks if a < b}
+    comp = groups(sorted(sets), [(a, b) for a, b in near if alike(sets[a], sets[b])])
+    held = defaultdict(set)
+    for (i, _), c in comp.items():
+        held[c].add(i)
+    runs = defaultdict(list)
+    for (i, k), (j, m) in sorted(comp.items()):
+        if len(held[j, m]) > 1 and (i != j or k == m or k >= m + width):
+            mine = runs[i, j, (i, k) != (j, m)]
+            if mine and k - mine[-1][1] <= width:
+                mine[-1][1] = k
+            else:
+                mine.append([k, k, m])
+    return {(i, a, b - a + width, j, m) for (i, j, _), mine in runs.items() for a, b, m in mine if b - a + width >= least}
+
+
 FRAME = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "subscribe to our newsletter", "click here", "share this", "skip to content", "powered by",
     "alle rechte vorbehalten", "datenschutzerklärung", "impressum", "nutzungsbedingungen", "newsletter abonnieren", "hier klicken", "zum inhalt springen",

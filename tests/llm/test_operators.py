@@ -378,6 +378,56 @@ def test_large_group_of_near_copies_in_small_blocks(spark, monkeypatch):
     assert passages(spark, texts) == want
 
 
+def shifted(seed, n):
+    """Pairs of texts with a common passage, of which one has other words at some of its ends."""
+    r = random.Random(seed)
+    out = []
+    for k in range(n):
+        ws = prose(seed * 100 + k, 60).split()
+        out += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(prose(-seed * 100 - k, r.randint(0, 20)).split() + ws[r.randint(1, 25) : 60 - r.randint(0, 10)]))]
+    return out
+
+
+def test_passages_equal_all_pairs(spark, rows):
+    texts = rows + [(10_000 + k, prose(k, 20) + "\n" + x) for k, x in enumerate(near_copies(5, 40, 80))] + [(20_000 + k, x) for k, x in shifted(3, 300)]
+    got = passages(spark, texts)
+    assert got == brute.all_passages(texts, starts) and got
+
+
+def test_like_paragraphs_with_other_first_words_are_linked(spark):
+    for k in range(3000):
+        ws = prose(k, 60).split()
+        texts = [(1, " ".join(ws)), (2, " ".join(["other", *ws[1:]]))]
+        first, second = (starts(t) for _, t in texts)
+        if 0 in first and 1 in second and len(first) > 1 and first[1:] == second[1:] and first[1] < 32:
+            break
+    # The first paragraphs share 27 of 29 shingles and begin with different words; the rest is the same.
+    assert (1, 0) in {x[:2] for x in passages(spark, texts)} and passages(spark, texts) == brute.all_passages(texts, starts)
+    alone = [(i, " ".join(t.split()[: 35 + i])) for i, t in texts]
+    least = substrings.repeated_passages(spark.createDataFrame(alone, DOCS), min_words=32).collect()
+    assert {r["doc_id"] for r in least} == {1, 2}
+
+
+def test_passages_of_periodic_texts_equal_all_pairs(spark):
+    texts = []
+    for k, period in enumerate([1, 2, 5, 9, 17, 23, 28, 29, 31, 33, 40]):
+        ws = prose(500 + k, period).split() * (200 // period)
+        texts += [(3 * k, " ".join(ws)), (3 * k + 1, prose(600 + k, 30) + " " + " ".join(ws[3:90])), (3 * k + 2, " ".join(ws[1:50] + prose(700 + k, 3).split() + ws[7:80]))]
+    assert passages(spark, texts) == brute.all_passages(texts, starts)
+
+
+def test_paragraphs_at_the_threshold_share_a_band():
+    r = random.Random(8)
+    for k in range(400):
+        a = [r.getrandbits(64) for _ in range(substrings.WIDTH)]
+        b = a[3:] + [r.getrandbits(64) for _ in range(3)]
+        if k % 2:  # a subset of 23 in 28, with repeats
+            b = a[:23] + r.choices(a[:23], k=5)
+        r.shuffle(b)
+        keys = [set(substrings.bands(substrings.np.array(x, substrings.np.uint64), substrings.np.array([0]))[1].tolist()) for x in (a, b)]
+        assert keys[0] & keys[1]
+
+
 def test_passage_edges(spark, odd, empty):
     got = substrings.repeated_passages(odd).collect()
     assert {r["doc_id"] for r in got} == {5, 6, 7, 8, None} and {r["cluster_doc"] for r in got if r["doc_id"] in (5, 6, 7)} == {5}
