@@ -90,3 +90,14 @@ def test_contract_columns(spark, name):
         "op5": ["doc_id", "n_shingles", "component_id"], "op6": ["doc_id"], "op7": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op8": ["doc_id", "n_tokens"], "op9": ["doc_id", "held_out", "lang_pred", "score"],
     }
     assert REGISTRY.queries[name](spark, SMALL).columns[: len(first[name.split("_")[0]])] == first[name.split("_")[0]]
+
+
+@pytest.mark.parametrize("stage", ["ngram_jaccard_join", "byte_level_bpe"])
+def test_stages_with_large_workers_shrink_the_heap_first(spark, folder, stage):
+    """In local mode the executor's heap is this JVM's: what a former step has grown it by is given back."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()  # noqa: SLF001
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(5)
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())  # noqa: E731, SLF001
+    before, most = beans(), runtime.maxMemory()
+    dict(corpus_pipeline.STAGES)[stage](spark, docs, folder)
+    assert beans() > before and runtime.totalMemory() <= most
