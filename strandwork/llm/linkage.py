@@ -3,7 +3,8 @@
 ``postings`` has one row (key, node, n, pos) for each key of a node: n is the size
 of the node's set, pos the number of its tokens that come before this key in the
 token order (0 where the key is no single token).  Two nodes that are similar
-enough share a key at least.
+enough share a key at least.  A further column bits, 64 parity bits of the set, drops
+pairs that differ in too many before their sets are read.
 
 Keys with few nodes give all their pairs.  Keys with many give, first, the pairs
 of each node with one central node; once those are verified and joined into
@@ -36,9 +37,9 @@ def can_reach(percent: int, na: str, nb: str, pa: str, pb: str) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * most >= percent * (F.expr(f"{na} + {nb}") - most))
 
 
-def can_agree(percent: int) -> Column:
-    """Bitmap filter: the signatures differ in no more bits than two sets of these sizes may differ in tokens."""
-    differ = F.expr(" + ".join(f"bit_count(s{k}_a ^ s{k}_b)" for k in range(SIGNATURE)))
+def can_agree(percent: int, *names: str) -> Column:
+    """Bitmap filter: the signatures, or these columns of parity bits, differ in no more bits than two sets of these sizes may differ in tokens."""
+    differ = F.expr(" + ".join(f"bit_count({x}_a ^ {x}_b)" for x in names or [f"s{k}" for k in range(SIGNATURE)]))
     return (100 + percent) * differ <= (100 - percent) * F.expr("n_a + n_b")
 
 
@@ -89,13 +90,15 @@ def link_components(postings: DataFrame, sets_of: Callable[[DataFrame], DataFram
     p = materialize(counted(postings, held, light))
     discard(held)
     few, heavy = p.where(F.col("c") <= light), p.where(F.col("c") > light)
-    own = ("node", "n", "pos")
+    bits = [c for c in ("bits",) if c in p.columns]
+    own = ("node", "n", "pos", *bits)
     a = few.select("key", *[F.col(x).alias(f"{x}_a") for x in own])
     b = few.select("key", *[F.col(x).alias(f"{x}_b") for x in own])
     ok = can_reach(percent, "n_a", "n_b", "pos_a", "pos_b")
-    met = a.join(b, "key").where(F.col("node_a") < F.col("node_b")).where(ok)
-    centre = materialize(heavy.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("x")).select("key", F.col("x.node").alias("node_b"), F.col("x.n").alias("n_b"), F.col("x.pos").alias("pos_b")))
-    star = heavy.select("key", *[F.col(x).alias(f"{x}_a") for x in own]).join(bounded(centre), "key").where("node_a <> node_b").where(ok)
+    near = ok & can_agree(percent, *bits) if bits else ok
+    met = a.join(b, "key").where(F.col("node_a") < F.col("node_b")).where(near)
+    centre = materialize(heavy.groupBy("key").agg(F.min(F.struct("pos", "node", "n", *bits)).alias("x")).select("key", *[F.col(f"x.{c}").alias(f"{c}_b") for c in own]))
+    star = heavy.select("key", *[F.col(x).alias(f"{x}_a") for x in own]).join(bounded(centre), "key").where("node_a <> node_b").where(near)
     ends = lambda d: d.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v"))
     first = materialize(ends(met).union(ends(star)).distinct())
     nodes = materialize(first.select(F.col("u").alias("node")).union(first.select("v")).union(heavy.select("node")).distinct())
@@ -106,8 +109,8 @@ def link_components(postings: DataFrame, sets_of: Callable[[DataFrame], DataFram
     if not heavy.isEmpty():
         h = materialize(heavy.join(bounded(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
         mixed = materialize(h.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"))
-        bits = [F.col("sig")[k].alias(f"s{k}") for k in range(SIGNATURE)]
-        h = h.join(bounded(mixed), "key").select("key", "c", "node", "n", "pos", "comp").join(sets.select("node", *bits), "node")
+        words = [F.col("sig")[k].alias(f"s{k}") for k in range(SIGNATURE)]
+        h = h.join(bounded(mixed), "key").select("key", "c", "node", "n", "pos", "comp").join(sets.select("node", *words), "node")
         rest = blocked_pairs(h, ("node", "n", "pos", "comp", *[f"s{k}" for k in range(SIGNATURE)]), block)
         rest = materialize(ends(rest.where((F.col("comp_a") != F.col("comp_b")) & ok & can_agree(percent))).distinct())
         more = materialize(verified(rest, sets, percent))

@@ -11,7 +11,8 @@ paragraphs of which so many occur among the least ones of others.  Those with eq
 node, and the hashes of a node are dealt to ``BANDS`` bands by their value.  Two nodes with
 similarity 0.8 differ in at most ``BANDS`` - 1 hashes, so one band at least is the same in both and its
 content is a key; for a band without hashes the least hashes of the node are keys in its place.  No
-link is left to chance.  Paragraphs that share a band are verified by exact Jaccard
+link is left to chance.  Paragraphs that share a band, and whose parity bits differ in no more places
+than their sets may, are verified by exact Jaccard
 similarity (``linkage``) and clustered by connected components.  Of each cluster the
 paragraph at the smallest (doc_id, word) is kept and the others are removed;
 overlapping paragraphs of a document whose first ones are in the same document are one passage, and
@@ -128,6 +129,14 @@ def bands(sh: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.nd
     return n, np.concatenate([key[held], more]).view(np.int64), owner
 
 
+def parity(sh: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 parity bits of the distinct shingles of each paragraph; the bands are by other bits of the hashes."""
+    own = np.sort(sh[at[:, None] + np.arange(WIDTH)], 1)
+    flips = np.uint64(1) << (own >> np.uint64(58))
+    flips[:, 1:][own[:, 1:] == own[:, :-1]] = 0
+    return np.bitwise_xor.reduce(flips, 1).view(np.int64)
+
+
 def _occurrences(percent: int):  # noqa: ANN202
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, text) to (id, place, token): the places where least shingles of paragraphs stand, numbered; twice where the text may repeat them itself."""
@@ -204,17 +213,18 @@ def _wanted(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _banded(percent: int):  # noqa: ANN202
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(text, wanted places) to (key, node, n)."""
+        """(text, wanted places) to (key, node, n, bits)."""
         room()
         for b in batches:
-            key, node, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            key, node, n, bits = ([np.empty(0, np.int64)] for _ in range(4))
             for sh, at in _wanted(b):
                 if len(at):
                     size, keys, owner = bands(sh, at, percent)
                     key.append(keys)
                     node.append(nodes_of(sh, at)[owner])
                     n.append(size[owner])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, node, n)], ["key", "node", "n"])
+                    bits.append(parity(sh, at)[owner])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, node, n, bits)], ["key", "node", "n", "bits"])
 
     return banded
 
@@ -242,11 +252,11 @@ def _linked(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def sets_of(nodes: DataFrame) -> DataFrame:
         return found(classes.join(bounded(nodes), "node", "left_semi")).mapInArrow(_sets, SETS).dropDuplicates(["node"])
 
-    banded = found(classes).mapInArrow(_banded(percent), "key bigint, node bigint, n bigint")
+    banded = found(classes).mapInArrow(_banded(percent), "key bigint, node bigint, n bigint, bits bigint")
     # Only rows that repeat an id give a node twice.
     repeated = not texts.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     banded = materialize(banded.distinct() if repeated else banded)
-    comps = link_components(banded.select("key", "node", "n", F.lit(0).alias("pos")), sets_of, percent)
+    comps = link_components(banded.select("key", "node", "n", F.lit(0).alias("pos"), "bits"), sets_of, percent)
     discard(banded)
     return comps
 

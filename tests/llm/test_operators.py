@@ -428,6 +428,41 @@ def test_paragraphs_at_the_threshold_share_a_band():
         assert keys[0] & keys[1]
 
 
+def test_parity_bits_of_paragraphs_at_the_threshold():
+    r = random.Random(9)
+    for k in range(400):
+        a = [r.getrandbits(64) for _ in range(substrings.WIDTH)]
+        b = a[3:] + [r.getrandbits(64) for _ in range(3)]
+        if k % 2:  # a subset of 23 in 28, with repeats
+            b = a[:23] + r.choices(a[:23], k=5)
+        r.shuffle(b)
+        x, y = (int(substrings.parity(substrings.np.array(z, substrings.np.uint64), substrings.np.array([0]))[0]) & (2**64 - 1) for z in (a, b))
+        assert (x ^ y).bit_count() <= len(set(a) ^ set(b)) and 180 * (x ^ y).bit_count() <= 20 * (len(set(a)) + len(set(b)))
+
+
+def test_sets_are_read_of_paragraphs_that_may_be_alike_only(spark, monkeypatch):
+    # Overlapping paragraphs of one text share bands but are not alike; both texts hold the same ones, and two differ in the last word.
+    ws = prose(41, 4000).split()
+    least = next(k for k in starts(" ".join(ws)) if k > 2000) + substrings.PARAGRAPH - 1
+    texts = [(1, " ".join(ws)), (2, " ".join([*ws[:least], "other", *ws[least + 1 :]]))]
+    whole, seen = substrings.link_components, []
+
+    def counted(postings, sets_of, *a):
+        return whole(postings, lambda nodes: (seen.append((nodes.count(), postings.select("node").distinct().count())), sets_of(nodes))[1], *a)
+
+    monkeypatch.setattr(substrings, "link_components", counted)
+    assert passages(spark, texts) == brute.all_passages(texts, starts)
+    ((some, of),) = seen
+    assert of > 300 and 2 <= some < of / 3
+
+
+def test_large_group_of_near_copies_in_small_blocks_equals_all_pairs(spark, monkeypatch):
+    texts = list(enumerate(prose(k, 15) + " " + x for k, x in enumerate(near_copies(11, 150, 70))))
+    whole = substrings.link_components
+    monkeypatch.setattr(substrings, "link_components", lambda *a: whole(*a, light=2, block=3))
+    assert passages(spark, texts) == brute.all_passages(texts, starts)
+
+
 def test_passage_edges(spark, odd, empty):
     got = substrings.repeated_passages(odd).collect()
     assert {r["doc_id"] for r in got} == {5, 6, 7, 8, None} and {r["cluster_doc"] for r in got if r["doc_id"] in (5, 6, 7)} == {5}
