@@ -30,7 +30,7 @@ clashing names included, are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,9 @@ PARAGRAPH, REACH, MIN_WORDS = 32, 4, 36
 WIDTH = PARAGRAPH - SHINGLE + 1
 #: Of their least shingles, like paragraphs share so many.
 SHARED = 2
+#: Texts are taken together until they have so many words; paragraphs in parts of ``PART``.
+WORDS, PART = 2**17, 4096
+_NONE = np.uint64(2**64 - 1)
 _NO_ID = -(2**62)
 
 
@@ -62,24 +65,82 @@ def n_bands(percent: int) -> int:
 BANDS = n_bands(PERCENT)
 
 
-def shingles_in_order(text: str | None) -> np.ndarray:
-    """Shingle hashes of a text that is long enough for a paragraph, in order; else none."""
+def _long(text: str | None) -> np.ndarray:
+    """Word hashes of a text that is long enough for a paragraph; else none."""
     if not text or len(text) < 2 * PARAGRAPH - 1:
         return np.empty(0, np.uint64)
     h = word_hashes(text.encode("utf-8", "replace").lower())
-    return shingle_hashes(h) if len(h) >= PARAGRAPH else np.empty(0, np.uint64)
+    return h if len(h) >= PARAGRAPH else np.empty(0, np.uint64)
+
+
+def shingles_in_order(text: str | None) -> np.ndarray:
+    """Shingle hashes of a text that is long enough for a paragraph, in order; else none."""
+    return shingle_hashes(_long(text))
+
+
+class Texts:
+    """Texts of some rows, end to end: their row numbers, first words and numbers of words, and a shingle hash for each word; the last words of a text begin no shingle and have the largest."""
+
+    def __init__(self, rows: list[int], words: list[np.ndarray]) -> None:
+        self.rows, self.n = np.array(rows), np.array([len(h) for h in words])
+        end = np.cumsum(self.n)
+        self.begin = end - self.n
+        self.sh = shingle_hashes(np.concatenate([*words, np.zeros(SHINGLE - 1, np.uint64)]))
+        self.sh[(end[:, None] - np.arange(1, SHINGLE)).ravel()] = _NONE
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """The text that each place is in."""
+        return np.searchsorted(self.begin, at, "right") - 1
+
+    def places(self) -> np.ndarray:
+        """The words at which paragraphs begin: least of the ``REACH`` shingles on both sides."""
+        least = np.ones(len(self.sh), bool)
+        for k in range(1, REACH + 1):
+            least[:-k] &= self.sh[:-k] < self.sh[k:]
+            least[k:] &= self.sh[k:] < self.sh[:-k]
+        at = np.flatnonzero(least)
+        end = self.begin + self.n
+        return at[at + PARAGRAPH <= end[self.of(at)]]
+
+    def repeats(self) -> np.ndarray:
+        """Whether the shingle at a place occurs again in its text."""
+        again = np.zeros(len(self.sh), bool)
+        for b, n in zip(self.begin.tolist(), self.n.tolist(), strict=True):
+            own = self.sh[b : b + n - SHINGLE + 1]
+            x = np.sort(own)
+            same = x[1:] == x[:-1]
+            if same.any():
+                again[b : b + len(own)] = np.isin(own, x[1:][same])
+        return again
+
+    def marked(self, at: np.ndarray) -> np.ndarray:
+        """The places among ``at``, in order, each once."""
+        held = np.zeros(len(self.sh), bool)
+        held[at] = True
+        return np.flatnonzero(held)
+
+
+def together(texts: Iterable[pa.StringScalar]) -> Iterator[Texts]:
+    """Texts that are long enough for a paragraph, many at a time: most have few, and numpy's calls would take longer than the work."""
+    rows, words, n = [], [], 0
+    for i, t in enumerate(texts):
+        h = _long(t.as_py())
+        if len(h):
+            rows.append(i)
+            words.append(h)
+            n += len(h)
+        if n >= WORDS:
+            yield Texts(rows, words)
+            rows, words, n = [], [], 0
+    if rows:
+        yield Texts(rows, words)
 
 
 def places(sh: np.ndarray) -> np.ndarray:
-    """The words at which paragraphs begin: least of the ``REACH`` shingles on both sides."""
-    n = len(sh) - WIDTH + 1
-    if n < 1:
-        return np.empty(0, np.int64)
-    least = np.ones(n, bool)
-    for k in range(1, REACH + 1):
-        least &= sh[:n] < sh[k : n + k]
-        least[k:] &= sh[k:n] < sh[: max(0, n - k)]
-    return np.flatnonzero(least)
+    """The words at which paragraphs begin in the text with these shingles."""
+    one = Texts([0], [np.zeros(len(sh) + SHINGLE - 1, np.uint64)])
+    one.sh[: len(sh)] = sh
+    return one.places()
 
 
 def nodes_of(sh: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -88,23 +149,23 @@ def nodes_of(sh: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total[at + WIDTH] - total[at]).view(np.int64)
 
 
-def leading(sh: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def leading(x: Texts, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each paragraph the words of its least shingles, how many of them a like one has among its own, and whether it repeats a shingle of the text."""
     width = min(WIDTH, prefix_length(WIDTH, percent) + SHARED - 1)
-    own = sh[at[:, None] + np.arange(WIDTH)]
-    first = at[:, None] + np.argsort(own, 1)[:, :width]
-    need, odd = np.full(len(at), min(SHARED, -(-percent * WIDTH // 100))), np.zeros(len(at), bool)
-    x = np.sort(sh)
-    again = x[1:][x[1:] == x[:-1]]
-    if len(again):
-        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.isin(sh, again))])
-        odd = total[at + WIDTH] > total[at]
-        for k in np.flatnonzero(odd).tolist():
-            u, where = np.unique(own[k], return_index=True)
-            if len(u) < WIDTH:
-                where = where[: prefix_length(len(u), percent) + SHARED - 1]
-                first[k] = at[k] + np.resize(where[:width], width)
-                need[k] = min(SHARED, -(-percent * len(u) // 100))
+    first = np.empty((len(at), width), np.int64)
+    for k in range(0, len(at), PART):
+        own = x.sh[at[k : k + PART, None] + np.arange(WIDTH)]
+        first[k : k + PART] = at[k : k + PART, None] + np.argsort(own, 1)[:, :width]
+    need = np.full(len(at), min(SHARED, -(-percent * WIDTH // 100)))
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(x.repeats())])
+    odd = total[at + WIDTH] > total[at]
+    rows = np.flatnonzero(odd)
+    own = np.sort(x.sh[at[rows, None] + np.arange(WIDTH)], 1)
+    for k in rows[(own[:, 1:] == own[:, :-1]).any(1)].tolist():
+        u, where = np.unique(x.sh[at[k] : at[k] + WIDTH], return_index=True)
+        where = where[: prefix_length(len(u), percent) + SHARED - 1]
+        first[k] = at[k] + np.resize(where[:width], width)
+        need[k] = min(SHARED, -(-percent * len(u) // 100))
     return first, need, odd
 
 
@@ -142,25 +203,15 @@ def _occurrences(percent: int):  # noqa: ANN202
         """(doc_id, text) to (id, place, token): the places where least shingles of paragraphs stand, numbered; twice where the text may repeat them itself."""
         room()
         for b in batches:
-            count, place, token = [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-            for t in b.column(1):
-                sh = shingles_in_order(t.as_py())
-                at = places(sh)
-                n = 0
-                if len(at):
-                    first, _, odd = leading(sh, at, percent)
-                    pos = np.unique(first)
-                    place.append(np.arange(len(pos)))
-                    token.append(sh[pos])
-                    n = len(pos)
-                    if odd.any():
-                        twice = np.searchsorted(pos, np.unique(first[odd]))
-                        place.append(twice)
-                        token.append(sh[pos[twice]])
-                        n += len(twice)
-                count.append(n)
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(token).view(np.int64))], ["id", "place", "token"])
+            for x in together(b.column(1)):
+                first, _, odd = leading(x, x.places(), percent)
+                pos = x.marked(first)
+                of = x.of(pos)
+                place = np.arange(len(pos)) - np.searchsorted(of, np.arange(len(x.rows)))[of]
+                again = np.searchsorted(pos, x.marked(first[odd]))
+                pick = np.concatenate([np.arange(len(pos)), again])
+                ids = b.column(0).take(pa.array(x.rows[of[pick]]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(place[pick].astype(np.int32)), pa.array(x.sh[pos[pick]].view(np.int64))], ["id", "place", "token"])
 
     return occurrences
 
@@ -183,32 +234,30 @@ def _paragraphs(percent: int):  # noqa: ANN202
         """(id, text, bits) to (id, start, node) of the paragraphs with enough least shingles at places that are set."""
         room()
         for b in batches:
-            count, start, node = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for t, bits in zip(b.column(1), b.column(2), strict=True):
-                sh = shingles_in_order(t.as_py())
-                at = places(sh)
-                if len(at):
-                    first, need, _ = leading(sh, at, percent)
-                    pos = np.unique(first)
-                    held = np.flatnonzero(np.unpackbits(np.frombuffer(bits.as_py(), np.uint8)))
-                    met = np.zeros(len(sh), bool)
-                    met[pos[held[held < len(pos)]]] = True
-                    at = at[met[first].sum(1) >= need]
-                    start.append(at)
-                    node.append(nodes_of(sh, at))
-                count.append(len(at))
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(node))], ["id", "start", "node"])
+            for x in together(b.column(1)):
+                at = x.places()
+                first, need, _ = leading(x, at, percent)
+                pos = x.marked(first)
+                count = np.bincount(x.of(pos), minlength=len(x.rows))
+                bits = b.column(2).take(pa.array(x.rows))
+                met = np.zeros(len(x.sh), bool)
+                met[pos] = np.concatenate([np.unpackbits(np.frombuffer(held.as_py(), np.uint8), count=n) for held, n in zip(bits, count.tolist(), strict=True)])
+                at = at[met[first].sum(1) >= need]
+                of = x.of(at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x.rows[of])), pa.array((at - x.begin[of]).astype(np.int32)), pa.array(nodes_of(x.sh, at))], ["id", "start", "node"])
 
     return paragraphs
 
 
 def _wanted(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Shingles and wanted places of the rows (text, wanted places); rows of one id may be too short for some."""
-    for t, want in zip(b.column(0), b.column(1), strict=True):
-        sh = shingles_in_order(t.as_py())
-        at = want.values.to_numpy().astype(np.int64)
-        yield sh, at[at + WIDTH <= len(sh)]
+    """Shingles and wanted places of the rows (text, wanted places), in parts; rows of one id may be too short for some."""
+    for x in together(b.column(0)):
+        want = b.column(1).take(pa.array(x.rows))
+        at = want.flatten().to_numpy().astype(np.int64)
+        of = np.repeat(np.arange(len(x.rows)), want.value_lengths().to_numpy())
+        at = (at + x.begin[of])[at + PARAGRAPH <= x.n[of]]
+        for k in range(0, len(at), PART):
+            yield x.sh, at[k : k + PART]
 
 
 def _banded(percent: int):  # noqa: ANN202
@@ -216,15 +265,9 @@ def _banded(percent: int):  # noqa: ANN202
         """(text, wanted places) to (key, node, n, bits)."""
         room()
         for b in batches:
-            key, node, n, bits = ([np.empty(0, np.int64)] for _ in range(4))
             for sh, at in _wanted(b):
-                if len(at):
-                    size, keys, owner = bands(sh, at, percent)
-                    key.append(keys)
-                    node.append(nodes_of(sh, at)[owner])
-                    n.append(size[owner])
-                    bits.append(parity(sh, at)[owner])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, node, n, bits)], ["key", "node", "n", "bits"])
+                n, key, owner = bands(sh, at, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, nodes_of(sh, at)[owner], n[owner], parity(sh, at)[owner])], ["key", "node", "n", "bits"])
 
     return banded
 
@@ -233,12 +276,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, wanted places) to (node, toks, sig)."""
     room()
     for b in batches:
-        node, toks = [np.empty(0, np.int64)], []
         for sh, at in _wanted(b):
-            if len(at):
-                node.append(nodes_of(sh, at))
-                toks += [np.unique(sh[k : k + WIDTH].view(np.int64)) for k in at.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(toks, pa.list_(pa.int64())), pa.array([signature(x) for x in toks], pa.list_(pa.int64()))], ["node", "toks", "sig"])
+            toks = [np.unique(sh[k : k + WIDTH].view(np.int64)) for k in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes_of(sh, at)), pa.array(toks, pa.list_(pa.int64())), pa.array([signature(x) for x in toks], pa.list_(pa.int64()))], ["node", "toks", "sig"])
 
 
 def _linked(texts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

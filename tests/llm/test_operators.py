@@ -463,6 +463,25 @@ def test_large_group_of_near_copies_in_small_blocks_equals_all_pairs(spark, monk
     assert passages(spark, texts) == brute.all_passages(texts, starts)
 
 
+def test_texts_taken_together_have_the_places_of_each(monkeypatch):
+    np, pa = substrings.np, substrings.pa
+    texts = [None, "", prose(1, 31), prose(2, 32), " ".join([prose(3, 9)] * 20), "x " * 60, *[prose(k, k) for k in range(33, 400, 7)]]
+    alone = []
+    for i, t in enumerate(texts):
+        sh = substrings.shingles_in_order(t)
+        n = len(sh) - substrings.WIDTH + 1
+        alone += [(i, k) for k in range(n) if all(sh[k] < sh[j] for j in range(max(0, k - 4), k + 5) if j != k)]
+    for most in (1, 1000, 2**17):
+        monkeypatch.setattr(substrings, "WORDS", most)
+        got = []
+        for x in substrings.together(pa.array(texts)):
+            at = x.places()
+            of = x.of(at)
+            got += zip(x.rows[of].tolist(), (at - x.begin[of]).tolist(), strict=True)
+            assert all(np.array_equal(x.sh[b : b + n - 4], substrings.shingles_in_order(texts[i])) for i, b, n in zip(x.rows, x.begin, x.n, strict=True))
+        assert got == alone and len(got) > 500
+
+
 def test_passage_edges(spark, odd, empty):
     got = substrings.repeated_passages(odd).collect()
     assert {r["doc_id"] for r in got} == {5, 6, 7, 8, None} and {r["cluster_doc"] for r in got if r["doc_id"] in (5, 6, 7)} == {5}
