@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import dealt
+
 
 def multi_edges(edges: DataFrame) -> DataFrame:
     """An edge of weight w as w edges of weight one: (from_id, to_id, number) with numbers from 1."""
@@ -18,7 +20,7 @@ def multi_edges(edges: DataFrame) -> DataFrame:
 def diversity(edges: DataFrame) -> DataFrame:
     """Entropy of the weights at a vertex over the logarithm of its degree, directions ignored; 0 for one neighbour."""
     ends = edges.where("from_id <> to_id").select(F.col("from_id").alias("vertex"), F.col("to_id").alias("o"), "weight").union(edges.where("from_id <> to_id").select("to_id", "from_id", "weight"))
-    w = ends.groupBy("vertex", "o").agg(F.sum("weight").cast("double").alias("w"))
+    w = dealt(ends, 2 * edges.count(), "vertex").groupBy("vertex", "o").agg(F.sum("weight").cast("double").alias("w"))
     g = w.groupBy("vertex").agg(F.count("*").alias("degree"), F.sum("w").alias("s"), F.sum(F.col("w") * F.ln("w")).alias("x"))
     entropy = F.ln("s") - F.col("x") / F.col("s")
     return g.select("vertex", "degree", F.when(F.col("degree") > 1, entropy / F.ln("degree")).otherwise(0.0).alias("diversity"))

@@ -26,7 +26,7 @@ WITH {_E}, w AS (SELECT vertex, o, sum(weight)::DOUBLE AS w FROM (SELECT from_id
 SELECT w.vertex, any_value(degree) AS degree, CASE WHEN any_value(degree) > 1 THEN round(-sum(w / s * ln(w / s)) / ln(any_value(degree)), 6) ELSE 0 END AS diversity FROM w JOIN s ON w.vertex = s.vertex GROUP BY 1""", (249,))
 def diversity(t: Tables) -> DataFrame:
     """How evenly each sender's mails are spread over partners."""
-    return X.diversity(_edges(t)).withColumn("diversity", F.round("diversity", 6))
+    return X.diversity(G.written(_edges(t))).withColumn("diversity", F.round("diversity", 6))
 
 
 @query("degree_centralization", f"""
