@@ -33,7 +33,7 @@ def mail_edges(t: Tables) -> DataFrame:
 def committer_author_edges(t: Tables) -> DataFrame:
     """Committers (suppliers) to authors (customers)."""
     c = t.authored.select("commit_id", F.col("file").alias("committer"), "author").distinct()
-    return N.committer_edges(c)
+    return N.committer_edges(c, rows=t.lineitem.count())
 
 
 @query("tag_edges", "SELECT l_suppkey AS from_id, o_custkey % 100 AS to_id, l_returnflag AS tag, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey % 100 GROUP BY 1, 2, 3", (217, 219))
