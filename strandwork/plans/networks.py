@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import motifs as M
 from ..operators import networks as N
+from ..operators.graph import dealt
 from ..sources.tables import Tables
 from .base import query
 from .relational import _AUTHORED
@@ -88,12 +89,18 @@ def feature_edges(t: Tables) -> DataFrame:
     return N.feature_edges(a.groupBy(F.col("file").alias("feature"), F.col("team").alias("author")).agg(F.count("*").alias("lines")))
 
 
+def lines_of(t: Tables, column: str, name: str) -> DataFrame:
+    """Lines of files (file, name, line), once each, with all lines of a file in one partition."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("file"), F.col(column).alias(name), F.col("l_linenumber").alias("line"))
+    return dealt(lines, t.lineitem.count(), "file").distinct()
+
+
 @query("code_blocks", """
 WITH r AS (SELECT l_orderkey AS file, l_returnflag AS commit, l_linenumber AS line, l_linenumber - row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS run FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_linenumber FROM lineitem))
 SELECT file, commit, min(line) AS first_line, max(line) AS last_line FROM r GROUP BY file, commit, run""", (220, 221))
 def code_blocks(t: Tables) -> DataFrame:
     """Runs of lines of the same commit."""
-    lines = t.lineitem.select(F.col("l_orderkey").alias("file"), F.col("l_returnflag").alias("commit"), F.col("l_linenumber").alias("line")).distinct()
+    lines = lines_of(t, "l_returnflag", "commit")
     return N.code_blocks(lines, ["file"], "line", ["commit"])
 
 
