@@ -84,8 +84,7 @@ def recurrence(t: Tables) -> DataFrame:
 @query("block_clusters", None, (227,))
 def block_clusters(t: Tables) -> DataFrame:
     """Clusters of the returned lines of each order, with the blocks near them."""
-    lines = t.lineitem.select(F.col("l_orderkey").alias("file"), F.col("l_returnflag").alias("commit"), F.col("l_linenumber").alias("line")).distinct()
-    return X.block_clusters(N.code_blocks(lines, ["file"], "line", ["commit"]), ["file"], F.col("commit") == "R", 1)
+    return X.block_clusters(N.code_blocks(P.lines_of(t, "l_returnflag", "commit"), ["file"], "line", ["commit"]), ["file"], F.col("commit") == "R", 1)
 
 
 #: The types of links between persons.
