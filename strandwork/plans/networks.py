@@ -111,8 +111,8 @@ j AS (SELECT x.author AS from_id, y.author AS to_id, greatest(y.f - x.l, x.f - y
 SELECT from_id, to_id, round(avg(CASE WHEN gap < 4 THEN 0.5 + cos(pi() * greatest(gap, 0) / 4.0) / 2 ELSE 0 END), 6) AS weight FROM j GROUP BY 1, 2""", (204, 226))
 def block_strength(t: Tables) -> DataFrame:
     """Strength of collaboration by the distance of blocks."""
-    lines = t.lineitem.select(F.col("l_orderkey").alias("file"), F.col("l_suppkey").alias("author"), F.col("l_linenumber").alias("line")).distinct()
-    return N.block_strength(N.code_blocks(lines, ["file"], "line", ["author"]), ["file"], 4.0).withColumn("weight", F.round("weight", 6))
+    pairs = N.pairs_within(t.lineitem, t.lineitem.count(), ["l_orderkey"])
+    return N.block_strength(N.code_blocks(lines_of(t, "l_suppkey", "author"), ["file"], "line", ["author"]), ["file"], 4.0, pairs).withColumn("weight", F.round("weight", 6))
 
 
 @query("co_change_pairs", "WITH k AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS e FROM lineitem) SELECT x.e AS e1, y.e AS e2, count(*) AS n FROM k x JOIN k y ON x.c = y.c AND x.e < y.e GROUP BY 1, 2 HAVING count(*) >= 2", (234,))
