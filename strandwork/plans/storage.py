@@ -13,6 +13,7 @@ from ..sources import parsers as P
 from ..sources import sinks as S
 from ..sources.tables import Tables
 from .base import query
+from .networks import lines_of
 
 
 def _path(t: Tables) -> str:
@@ -151,6 +152,6 @@ def line_count_scan(t: Tables) -> DataFrame:
 @query("random_control", None, (228,))
 def random_control(t: Tables) -> DataFrame:
     """Strength of collaboration of randomly placed blocks."""
-    lines = t.lineitem.select(F.col("l_orderkey").alias("file"), F.col("l_suppkey").alias("author"), F.col("l_linenumber").alias("line")).distinct()
-    blocks = N.code_blocks(lines, ["file"], "line", ["author"]).withColumn("length", F.lit(10))
-    return N.block_strength(N.random_blocks(blocks, ["file"], "length"), ["file"], 4.0).withColumn("weight", F.round("weight", 6))
+    blocks = N.code_blocks(lines_of(t, "l_suppkey", "author"), ["file"], "line", ["author"]).withColumn("length", F.lit(10))
+    pairs = N.pairs_within(t.lineitem, t.lineitem.count(), ["l_orderkey"])
+    return N.block_strength(N.random_blocks(blocks, ["file"], "length"), ["file"], 4.0, pairs).withColumn("weight", F.round("weight", 6))
