@@ -40,7 +40,7 @@ def committer_author_edges(t: Tables) -> DataFrame:
 @query("tag_edges", "SELECT l_suppkey AS from_id, o_custkey % 100 AS to_id, l_returnflag AS tag, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey % 100 GROUP BY 1, 2, 3", (217, 219))
 def tag_edges(t: Tables) -> DataFrame:
     """Taggers to authors by kind of tag."""
-    return N.tag_edges(t.authored.select("commit_id", (F.col("author") % 100).alias("author"), F.col("file").alias("tagger"), F.col("flag").alias("tag")))
+    return N.tag_edges(t.authored.select("commit_id", (F.col("author") % 100).alias("author"), F.col("file").alias("tagger"), F.col("flag").alias("tag")), rows=t.lineitem.count())
 
 
 @query("person_edges", f"""
