@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import joined, written
+
+#: Vectors in a part of a block, of which two at a time are multiplied.
+PART = 2048
 
 # Stemmed terms that are left out of frequent terms, by list.
 EXCLUDED_TERMS = {
@@ -75,12 +79,39 @@ def initiations(mails: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: str) -> DataFrame:
-    """Pairs of the same ``block`` whose dense vectors have cosine ``least`` or more: (a, b, cosine), a < b."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    v = vectors.select(block, F.col(key).alias("k"), F.col(vector).alias("v"), norm.alias("n"))
-    j = v.select(block, F.col("k").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")).join(v.select(block, F.col("k").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb")), block).where("a < b")
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return j.withColumn("cosine", F.try_divide(dot, F.col("na") * F.col("nb"))).where(F.col("cosine") >= least).select("a", "b", "cosine")
+    """Pairs of the same ``block`` whose dense vectors have cosine ``least`` or more: (a, b, cosine), a < b.
+
+    All pairs are looked at: a block is dealt to parts of about ``PART`` vectors, and a task has the product of two parts.
+    """
+    v = vectors.select(F.col(block).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v")).where("g IS NOT NULL AND k IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
+    size = written(v.groupBy("g").agg(F.ceil(F.count("*") / PART).alias("parts")))
+    tasks = int(size.agg(F.sum(F.expr("parts * (parts + 1) / 2"))).first()[0] or 1)
+    v = joined(v, v.count(), size, "g").withColumn("p", F.expr("pmod(xxhash64(20, k), parts)"))
+    v = v.select("g", "k", "p", F.col("v").cast("array<double>").alias("v"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("r"))
+    v = v.select("g", "k", "p", "v", F.least("p", "r").alias("i"), F.greatest("p", "r").alias("j"))
+    kinds = dict(vectors.dtypes)
+
+    def couple(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for _, same in frame.groupby(frame["v"].map(len)):
+            one, two = same[same["p"] == i], same[same["p"] == j]
+            if one.empty or two.empty:
+                continue
+            x, y = np.stack(one["v"].to_list()), np.stack(two["v"].to_list())
+            norms = np.outer(np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                c = x @ y.T / norms
+            close = (norms != 0) & ~(c < least)
+            a, b = one["k"].to_numpy(), two["k"].to_numpy()
+            if i == j:
+                close &= a[:, None] < b[None]
+            at, to = np.nonzero(close)
+            out.append((np.minimum(a[at], b[to]), np.maximum(a[at], b[to]), c[at, to]))
+        a, b, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else ([], [], [])
+        return pd.DataFrame({"a": a, "b": b, "cosine": c})
+
+    return v.repartition(max(tasks, v.sparkSession.sparkContext.defaultParallelism), "g", "i", "j").groupBy("g", "i", "j").applyInPandas(couple, f"a {kinds[key]}, b {kinds[key]}, cosine double")
 
 
 def tfidf_coupling(counts: DataFrame, key: str, least: float, most_df: float = 0.95) -> DataFrame:
